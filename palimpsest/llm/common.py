@@ -54,3 +54,15 @@ def keep_share(shares: dict, key: Column, row_id: Column) -> Column:
     for k, share in shares.items():
         test = F.when(key == F.lit(k), draw < F.lit(int(share * (1 << 30)))).otherwise(test)
     return test
+
+
+def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
+    """Let Arrow batches to Python end by size too: texts can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
+def sliced(batches, rows: int = 256):
+    """Arrow batches cut into slices of at most ``rows`` rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

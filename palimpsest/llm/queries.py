@@ -5,15 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import exact_dedup, licenses
+from palimpsest.llm import exact_dedup, licenses, packing, token_store
 from palimpsest.llm.common import table
+from palimpsest.llm.tokens import vocabulary
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_store.write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    docs = token_store.read_tokens(shards).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return token_store.with_global_start(docs, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -21,6 +34,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_license_scan": op5_license_scan,
+        "op7_packing": op7_packing,
+        "op8_token_store": op8_token_store,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
