@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import exact_dedup, licenses, packing, token_store
+from palimpsest.llm import bpe_chunks, exact_dedup, licenses, packing, token_store
 from palimpsest.llm.common import table
 from palimpsest.llm.tokens import vocabulary
 
 
+def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_chunks.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -33,6 +38,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
         "op5_license_scan": op5_license_scan,
         "op7_packing": op7_packing,
         "op8_token_store": op8_token_store,
