@@ -62,16 +62,22 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def windows_for(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Fewest near-equal windows, from the least possible count upward, that fit."""
+    """Near-equal windows that fit, from the least possible count upward.
+
+    When the largest window exceeds the capacity, the count rises to what would
+    do if windows kept their distance from the mean.
+    """
     if not sizes:
         return []
-    k = -(-sum(sizes) // capacity)
+    total = sum(sizes)
+    k = -(-total // capacity)
     while True:
         found = difference(sizes, k)
-        over = max(sum(sizes[n] for n in w) for w in found) - capacity
-        if over <= 0:
+        largest = max(sum(sizes[n] for n in w) for w in found)
+        if largest <= capacity:
             return found
-        k += 1
+        room = capacity - (largest - total / k)
+        k = max(k + 1, int(total / room) if room > 0 else 0)
 
 
 def cuts(tokens: int, capacity: int, piece: int) -> Iterator[tuple[int, int]]:
