@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe_chunks, exact_dedup, licenses, packing, token_store
+from palimpsest.llm import bpe_chunks, exact_dedup, licenses, packing, simhash, token_store, topk
 from palimpsest.llm.common import table
 from palimpsest.llm.tokens import vocabulary
 
@@ -21,6 +21,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
@@ -32,6 +36,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.with_global_start(docs, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -40,8 +48,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
         "op5_license_scan": op5_license_scan,
+        "op6_simhash": op6_simhash,
         "op7_packing": op7_packing,
         "op8_token_store": op8_token_store,
+        "op9_ball_tree_topk": op9_ball_tree_topk,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
