@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe_chunks, exact_dedup, licenses, packing, simhash, token_store, topk
-from palimpsest.llm.common import table
+from palimpsest.llm import bpe_chunks, exact_dedup, language, licenses, packing, quality, simhash, token_store, topk, toxicity
+from palimpsest.llm.common import residue, table
 from palimpsest.llm.tokens import vocabulary
 
 
@@ -17,6 +17,26 @@ def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), residue(F.col("doc_id"), 5)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold != 0)
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), residue(F.col("doc_id"), 3)
+    model = language.train(docs, fold != 1)
+    return language.identify(docs, model).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), residue(F.col("doc_id"), 5)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), fold != 0)
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -47,6 +67,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
+        "op2_toxicity": op2_toxicity,
+        "op3_language_id": op3_language_id,
+        "op4_quality": op4_quality,
         "op5_license_scan": op5_license_scan,
         "op6_simhash": op6_simhash,
         "op7_packing": op7_packing,
