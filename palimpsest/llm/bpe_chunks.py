@@ -22,6 +22,8 @@ from palimpsest.llm.tokens import load
 WINDOW = 32
 #: Mean, least and greatest chunk length in bytes.
 MEAN, LEAST, MOST = 512, 64, 4096
+#: How far back a join's window may reach before the whole text is encoded instead.
+FAR = 1 << 16
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
@@ -77,14 +79,17 @@ def _plain(byte: int) -> bool:
     return 0x21 <= byte <= 0x7E
 
 
-def _blanks_back(text: bytes, end: int, count: int) -> int:
-    """The ``count``-th last blank before ``end`` between two plain characters, or 0."""
-    p = end
+def _blanks_back(text: bytes, end: int, count: int) -> int | None:
+    """The ``count``-th last blank before ``end`` between two plain characters.
+
+    0 if the text begins first, None if none is found within ``FAR`` bytes.
+    """
+    p, least = end, max(1, end - FAR)
     while count:
-        p = text.rfind(b" ", 1, p)
-        if p <= 0:
-            return 0
-        count -= p + 1 < len(text) and _plain(text[p - 1]) and _plain(text[p + 1])
+        p = text.rfind(b" ", least, p)
+        if p < 0:
+            return 0 if least == 1 else None
+        count -= p + 1 < end and _plain(text[p - 1]) and _plain(text[p + 1])
     return p
 
 
@@ -130,26 +135,33 @@ class ChunkEncoder:
             n += 1
         return n if size == 0 else None
 
-    def _join(self, left: bytes, ids: array, right: bytes, own: array, first: dict[bytes, array]) -> None:
-        """Append ``right`` to ``left``'s ids, repairing the join."""
+    def _join(self, text: bytes, at: int, ids: array, right: bytes, own: array, first: dict[bytes, array]) -> bool:
+        """Append ``right`` to the ids of ``text[:at]``, repairing the join.
+
+        False if no window up to ``FAR`` bytes back agrees.
+        """
         words = 2
         while True:
-            a, b = _blanks_back(left, len(left), words), _blanks_on(right, words)
-            window = left[a:] + right[:b]
+            a, b = _blanks_back(text, at, words), _blanks_on(right, words)
+            if a is None:
+                return False
+            window = text[a : at + b]
             new = first.get(window) or self._library([window])[0]
-            drop = self._tokens_back(ids, len(left) - a)
-            skip = self._tokens_on(own, b)
+            drop, skip = self._tokens_back(ids, at - a), self._tokens_on(own, b)
             if drop is not None and skip is not None:
                 # the outermost word on each side must have kept its ids
-                a2, b2 = _blanks_back(left, len(left), words - 1), _blanks_on(right, words - 1)
-                lead, trail = self._tokens_on(new, a2 - a), self._tokens_back(new, b - b2)
-                if (a == 0 or (lead and new[:lead] == ids[len(ids) - drop :][:lead])) and (
-                    b == len(right) or (trail and new[len(new) - trail :] == own[skip - trail : skip])
-                ):
-                    del ids[len(ids) - drop :]
+                lead = self._tokens_on(new, _blanks_back(text, at, words - 1) - a) if a else 0
+                trail = self._tokens_back(new, b - _blanks_on(right, words - 1)) if b < len(right) else 0
+                left_agrees = a == 0 or (lead and new[:lead] == ids[len(ids) - drop :][:lead])
+                right_agrees = b == len(right) or (trail and new[len(new) - trail :] == own[skip - trail : skip])
+                if left_agrees and right_agrees:
+                    if drop:
+                        del ids[len(ids) - drop :]
                     ids.extend(new)
                     ids.extend(own[skip:])
-                    return
+                    return True
+            if a == 0 and b == len(right):
+                return False
             self.widened += 1
             words *= 2
 
@@ -166,7 +178,7 @@ class ChunkEncoder:
         self.held += sum(len(c) + 4 * len(known[c]) + 200 for c in missing)
         memo.update(known)
         windows = dict.fromkeys(
-            a[_blanks_back(a, len(a), 2) :] + b[: _blanks_on(b, 2)] for chunks in chunked for a, b in zip(chunks, chunks[1:], strict=False)
+            a[_blanks_back(a, len(a), 2) or 0 :] + b[: _blanks_on(b, 2)] for chunks in chunked for a, b in zip(chunks, chunks[1:], strict=False)
         )
         first = dict(zip(windows, self._library(list(windows)), strict=True))
         out = []
@@ -175,8 +187,9 @@ class ChunkEncoder:
             for k, c in enumerate(chunks):
                 if k == 0:
                     ids.extend(memo[c])
-                else:
-                    self._join(text[max(0, at - 2 * MOST) : at] if at > 2 * MOST and b" " in text[at - 2 * MOST : at] else text[:at], ids, c, memo[c], first)
+                elif not self._join(text, at, ids, c, memo[c], first):
+                    ids = self._library([text])[0]  # nowhere to cut: the whole text
+                    break
                 at += len(c)
             out.append(ids)
         return out
