@@ -72,7 +72,8 @@ def links(distinct: DataFrame) -> DataFrame:
         (F.col("space") + F.col("near")).alias("key"), F.col("fp").alias("a"), (F.col("near") == F.col("part")).alias("same")
     )
     close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE) & (~F.col("same") | (F.col("a") < F.col("b")))
-    return probes.join(stored, (probes["key"] == stored["key"]) & close).select("a", "b").distinct()
+    # sizes before explode() mislead the planner: never broadcast either side
+    return probes.join(stored.hint("merge"), (probes["key"] == stored["key"]) & close).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
