@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import written
+
 LEAF = 256
 
 
@@ -141,9 +143,9 @@ def top_k(
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
     deal = lambda salt, parts: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(parts))
     stored = rows.select("id", "vector", deal("shard", shards).alias("shard"))
-    asking = rows.filter(is_query).select("id", "vector", deal("block", blocks).alias("block"))
+    asking = rows.filter(is_query).select(F.col("id").alias("query_id"), F.col("vector").alias("query"), deal("block", blocks).alias("query_block"))
     every_block = stored.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    home = F.pmod(F.col("block"), F.lit(shards))
+    home = lambda block: F.pmod(F.col(block), F.lit(shards))
 
     schema = "query_id long, vec_id long, score long"
 
@@ -151,26 +153,24 @@ def top_k(
         import numpy as np
         import pyarrow as pa
 
-        qv, xv = left.column("vector"), right.column("vector")
+        qv, xv = left.column("query"), right.column("vector")
         width = max([0, *map(len, qv.to_pylist()), *map(len, xv.to_pylist())])
-        q_ids, x_ids = left.column("id").to_numpy().astype(np.int64), right.column("id").to_numpy().astype(np.int64)
+        q_ids, x_ids = left.column("query_id").to_numpy().astype(np.int64), right.column("id").to_numpy().astype(np.int64)
         floor = left.column("floor").to_numpy().astype(float)
         best = search(_matrix(qv, width, scale), q_ids, _matrix(xv, width, scale), x_ids, k, floor)
         return pa.table({"query_id": q_ids[best.q], "vec_id": best.i, "score": best.s.astype(np.int64)})
 
     def hits(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-        return queries.groupBy("block", "shard").cogroup(candidates.groupBy("block", "shard")).applyInArrow(run, schema)
+        return queries.groupBy("query_block", "query_shard").cogroup(candidates.groupBy("block", "shard")).applyInArrow(run, schema)
 
-    first = hits(asking.withColumns({"shard": home, "floor": F.lit(float("-inf"))}), every_block.filter(F.col("shard") == home))
+    first = hits(asking.withColumns({"query_shard": home("query_block"), "floor": F.lit(float("-inf"))}), every_block.filter(F.col("shard") == home("block")))
     if shards > 1:
-        from palimpsest.llm.common import written
-
         first = written(first, "first-hits")
         floors = first.groupBy("query_id").agg(F.when(F.count("score") >= k, F.min("score").cast("double")).alias("low"))
-        rest = asking.join(floors, F.col("id") == F.col("query_id"), "left").select(
-            "id", "vector", "block", F.coalesce("low", F.lit(float("-inf"))).alias("floor"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
+        every_shard = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
+        rest = asking.join(floors, "query_id", "left").select(
+            "query_id", "query", "query_block", F.coalesce("low", F.lit(float("-inf"))).alias("floor"), every_shard.alias("query_shard")
         )
-        first = first.unionByName(hits(rest.filter(F.col("shard") != home), every_block.filter(F.col("shard") != home)))
+        first = first.unionByName(hits(rest.filter(F.col("query_shard") != home("query_block")), every_block.filter(F.col("shard") != home("block"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
