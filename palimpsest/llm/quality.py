@@ -139,11 +139,12 @@ def train(
     total = docs.count()
     share = capped_share(counts, per_class)
     features = docs.filter(usable).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"))
-    labelled = features.join(marks, "doc_id", "left")
-    wanted = keep_share(share, F.col("quality"), F.col("doc_id"))
-    pool = F.col("quality").isNull() & keep_share({"x": min(1.0, pool_rows / max(total, 1))}, F.lit("x"), F.col("doc_id"))
-    # thinning comes before features, so only sampled texts are examined
-    rows = labelled.filter(wanted | pool).select("doc_id", "quality", F.array(*content_view()).alias("a"), F.array(*metadata_view()).alias("b"))
+    # thinning comes before texts are touched: about 2 * per_class labels to broadcast
+    chosen = marks.filter(keep_share(share, F.col("quality"), F.col("doc_id"))).join(ids, "doc_id", "left_semi")
+    labelled = features.join(F.broadcast(chosen), "doc_id")
+    thinned = features.filter(keep_share({"x": min(1.0, pool_rows / max(total, 1))}, F.lit("x"), F.col("doc_id")))
+    pool = thinned.join(marks, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int"))
+    rows = labelled.unionByName(pool).select("doc_id", "quality", F.array(*content_view()).alias("a"), F.array(*metadata_view()).alias("b"))
     found = rows.orderBy("doc_id", F.xxhash64("a", "b")).toArrow().to_pydict()
     q = np.array([-1 if v is None else v for v in found["quality"]])
     views = [np.array(found["a"], dtype=float).reshape(-1, len(a)), np.array(found["b"], dtype=float).reshape(-1, len(b))]
