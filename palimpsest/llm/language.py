@@ -134,10 +134,8 @@ def _sample_features(rows: DataFrame, bits: int):
             )
 
     found = rows.mapInArrow(run, "label string, buckets array<int>, shares array<float>").toArrow()
-    import numpy as np
-
     return [
-        (a.as_py(), b.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.float64))
+        (a.as_py(), b.values.to_numpy(), c.values.to_numpy())
         for a, b, c in zip(found.column("label"), found.column("buckets"), found.column("shares"), strict=True)
     ]
 
@@ -176,13 +174,20 @@ def fit_ftrl(rows, classes: int, size: int, alpha: float = 2.0, beta: float = 1.
 
 
 def fit_temperature(logits, labels) -> float:
-    """The temperature with the least negative log-likelihood (golden section)."""
+    """The temperature with the least negative log-likelihood (golden section).
+
+    Labels are smoothed by one pseudo-row, so that a sample without errors does
+    not make the scores certain.
+    """
     import numpy as np
 
+    smooth = 1.0 / (len(labels) + logits.shape[1])
+
     def loss(log_t):
         z = logits / np.exp(log_t)
         z = z - z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), labels]).mean())
+        right = (1 - smooth) * z[np.arange(len(z)), labels] + smooth * z.mean(axis=1)
+        return float((np.log(np.exp(z).sum(axis=1)) - right).mean())
 
     a, b, r = -3.0, 3.0, (5**0.5 - 1) / 2
     for _ in range(40):
@@ -191,7 +196,7 @@ def fit_temperature(logits, labels) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, usable: Column, per_language: int = 1200, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def train(docs: DataFrame, usable: Column, per_language: int = 800, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on the ``usable`` rows with a text and a language.
 
     ``per_language`` bounds the rows of each language used for the weights and the
@@ -211,7 +216,7 @@ def train(docs: DataFrame, usable: Column, per_language: int = 1200, bits: int =
     idf = np.log((1.0 + total) / (1.0 + df)) + 0.1
     chosen = rows.filter(keep_share(capped_share(counts, per_language), F.col("lang"), F.col("doc_id"))).select("lang", "text")
     number = {name: k for k, name in enumerate(languages)}
-    sample = [(number[label], at, x * idf[at] * 30.0) for label, at, x in _sample_features(chosen, bits)]
+    sample = [(number[label], at, (x * (idf[at] * 30.0)).astype(np.float32)) for label, at, x in _sample_features(chosen, bits)]
     held = [s for k, s in enumerate(sample) if k % 5 == 0] if len(sample) >= 20 else sample
     fit = [s for k, s in enumerate(sample) if k % 5] if len(sample) >= 20 else sample
     w, b = fit_ftrl(fit, len(languages), 1 << bits)
