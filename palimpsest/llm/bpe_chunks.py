@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import bounded_batches, sliced
-from palimpsest.llm.tokens import load
+from palimpsest.llm.tokens import PieceEncoder
 
 WINDOW = 32
 #: Mean, least and greatest chunk length in bytes.
@@ -108,7 +108,8 @@ class ChunkEncoder:
     """Texts to ids by chunk reuse, and ids back to text."""
 
     def __init__(self, path: str, memo_bytes: int = 96 << 20):
-        self.tokenizer, self.memo_bytes, self.gear = load(path), memo_bytes, _gear()
+        self.words, self.memo_bytes, self.gear = PieceEncoder(path, limit=700_000), memo_bytes, _gear()
+        self.tokenizer = self.words.tokenizer
         self.memo: dict[bytes, array] = {}
         self.held = self.encoded = self.reused = self.widened = 0
         back = {c: b for b, c in _byte_characters().items()}
@@ -117,8 +118,8 @@ class ChunkEncoder:
         self.width = [len(b) for b in self.bytes]
 
     def _library(self, pieces: list[bytes]) -> list[array]:
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [array("I", x.ids) for x in found]
+        """The library's ids of each piece of text, frequent words from a memo."""
+        return [array("I", x) for x in self.words.encode([p.decode() for p in pieces])]
 
     def _tokens_back(self, ids: array, size: int) -> int | None:
         """How many of the last ids make exactly ``size`` bytes."""
