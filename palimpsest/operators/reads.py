@@ -99,9 +99,10 @@ def seek_next(live: DataFrame, starts: list, n: int) -> DataFrame:
     first ``n`` keys (at most that many per task reach the shuffle); a start then
     takes the first ``n`` of what its own and the later intervals kept.
     """
-    points = sorted(set(starts))
+    points = sorted({bytes(s) if isinstance(s, bytearray) else s for s in starts})
     if not points:
         return live.select(F.col("key").alias("start"), "key", F.lit(0).cast("long").alias("rn")).limit(0)
+    points = [bytearray(p) if isinstance(p, bytes) else p for p in points]
     table = F.array(*[F.lit(p) for p in points])
     interval = F.size(F.filter(table, lambda p: p <= F.col("key")))
     inside = Window.partitionBy("interval").orderBy("key")

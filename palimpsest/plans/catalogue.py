@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators import files, history as hist, reads, stats, transactions, writes
+from palimpsest.operators import files, filters, history as hist, reads, stats, transactions, writes
 from palimpsest.plans.inputs import SQL, event_files, history, order_files, table, user_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -485,3 +485,78 @@ select count(*) as versions, count(distinct k) as keys_seen, (select count(*) fr
   cast(sum(strlen(k) + coalesce(strlen(v), 0)) as bigint) as user_bytes, max(seq) as last_sequence from h""")
 def store_counts(spark, sf_dir):
     return stats.store_counts(history(spark, sf_dir))
+
+
+# -- filters, cache, buffers, whole-log checks ------------------------------------------------
+
+
+@query(" select count(*) as probes, count(*) as maybe from (select distinct cast(floor((seq-1)/250) as bigint) as id, k from h) t")
+def bloom_no_false_negatives(spark, sf_dir):
+    entries = history(spark, sf_dir).select(F.floor((F.col("seq") - 1) / 250).alias("id"), "key")
+    found = filters.probe_filters(filters.build_filters(entries), entries.distinct())
+    return found.agg(F.count(F.lit(1)).alias("probes"), F.count_if("maybe").alias("maybe"))
+
+
+@query()
+def bloom_false_positives(spark, sf_dir):
+    entries = history(spark, sf_dir).select(F.floor((F.col("seq") - 1) / 250).alias("id"), "key")
+    missing = entries.distinct().select("id", F.concat("key", F.lit("x")).alias("key"))
+    found = filters.probe_filters(filters.build_filters(entries), missing)
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("probes"), F.count_if("maybe").alias("false_positives"))
+
+
+@query()
+def lru_hits(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    accesses = e.select((F.col("event_id") % 4).alias("queue"), F.col("event_id").alias("ticket"), (F.col("user_id") * F.col("user_id") % 97).alias("block"), (F.col("user_id") % 5 * 100 + 100).alias("bytes"))
+    return filters.cache_hits(accesses, 4000).groupBy("queue").agg(F.count(F.lit(1)).alias("accesses"), F.sum("hit").alias("hits"))
+
+
+@query()
+def memtable_switches(spark, sf_dir):
+    h = history(spark, sf_dir)
+    entries = h.select((F.col("seq") % 4).alias("queue"), "seq", (hist.user_bytes(h) + 8).cast("long").alias("bytes"))
+    return filters.memtable_switches(entries, 4096).groupBy("queue", "buffer").agg(F.count(F.lit(1)).alias("versions"), F.sum("bytes").alias("n_bytes"))
+
+
+@query(" select cast(0 as bigint) as split_keys")
+def keys_within_one_file(spark, sf_dir):
+    """No key's versions span two files when files are cut at key boundaries."""
+    h = history(spark, sf_dir)
+    entries = h.select(F.substring("key", 10, 1).cast("long").alias("part"), "key", "seq", (hist.user_bytes(h) + 17).cast("long").alias("bytes"))
+    spans = writes.split_files(entries, 4096).groupBy("key").agg(F.count_distinct("part", "file").alias("n"))
+    return spans.agg(F.count_if(F.col("n") > 1).alias("split_keys"))
+
+
+@query()
+def exec_replies(spark, sf_dir):
+    """Wire requests of one session per user, parsed and folded to counters."""
+    from palimpsest.sources import resp
+
+    e = table(spark, sf_dir, "events")
+    name = F.when(F.col("event_type") == "purchase", "SET").when(F.col("event_type") == "error", "DEL").otherwise("INCR")
+    arg = F.round("value").cast("bigint").cast("string")
+    line = F.concat(F.concat_ws(" ", name, user_key(F.col("user_id")), F.when(name == "SET", arg)), F.lit("\r\n"))
+    parsed = resp.commands(e.select(F.col("event_id").alias("id"), line.cast("binary").alias("data")))
+    text = lambda k: F.decode(F.get("args", F.lit(k)), "UTF-8")
+    c = parsed.select(text(0).alias("key"), (F.col("id") + 1).alias("seq"), F.col("name").alias("op"), F.coalesce(text(1), F.lit("1")).alias("arg"))
+    return writes.fold_commands(c)
+
+
+@query()
+def store_round_trip(spark, sf_dir):
+    """Write the history into a store, compact it, and read the latest pairs back."""
+    import tempfile
+    import uuid
+
+    from palimpsest.store import Store
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    store = Store(spark, f"{shared}/store-{uuid.uuid4().hex}")
+    h = history(spark, sf_dir)
+    store.write_frame(h.select(F.col("seq").alias("op_index"), "kind", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")))
+    store.compact_all()
+    return store.scan().select(F.col("key").cast("string").alias("k"), "seq", F.col("value").cast("string").alias("v"))
+
+
+ORACLES["store_round_trip"] = ORACLES["scan_latest"]

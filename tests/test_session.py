@@ -96,3 +96,23 @@ def test_multi_exec_watch(session):
     say(session, "MULTI"), say(session, "SET b 2")
     assert say(session, "DISCARD") == resp.OK and say(session, "GET b") == resp.bulk(b"1")
     assert not session.store.snapshots
+
+
+def test_over_a_socket(session):
+    import socket
+    import threading
+
+    from palimpsest.store.server import Server
+
+    with Server(session.store, port=0) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        with socket.create_connection(server.server_address, timeout=60) as c:
+            c.sendall(resp.request(b"SET", b"k", b"v") + b"get k\r\n\r\n" + resp.request(b"QUIT"))
+            got = b""
+            while part := c.recv(4096):
+                got += part
+        with socket.create_connection(server.server_address, timeout=60) as c:
+            c.sendall(b"*x\r\n")
+            assert c.recv(4096).startswith(b"-ERR Protocol error")
+        server.shutdown()
+    assert got == b"+OK\r\n$1\r\nv\r\n+OK\r\n"
