@@ -16,7 +16,7 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, sliced
+from palimpsest.llm.common import bounded_batches, held, sliced
 from palimpsest.llm.tokens import PieceEncoder
 
 WINDOW = 32
@@ -211,9 +211,6 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every whole text: ``doc_id, n_tokens, ids, decoded``.
 
@@ -233,9 +230,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     def run(batches):
         import pyarrow as pa
 
-        if tokenizer_path not in _ENCODERS:
-            _ENCODERS[tokenizer_path] = ChunkEncoder(tokenizer_path)
-        enc = _ENCODERS[tokenizer_path]
+        enc = held(f"chunks {tokenizer_path}", lambda: ChunkEncoder(tokenizer_path))
         for part in sliced(batches):
             found = enc.encode([t.encode() for t in part.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(

@@ -66,3 +66,19 @@ def sliced(batches, rows: int = 256):
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+
+
+_HELD: dict = {}
+
+
+def held(name: str | None = None, make=None):
+    """This Python worker's object ``name``, made once; drops all other ones.
+
+    Workers outlive tasks, so an object with a large memo serves many tasks of one
+    operator, and is gone as soon as another operator runs in the worker.
+    """
+    for other in [k for k in _HELD if k != name]:
+        del _HELD[other]
+    if name is not None and name not in _HELD:
+        _HELD[name] = make()
+    return _HELD.get(name)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, capped_share, keep_share, sliced
+from palimpsest.llm.common import bounded_batches, capped_share, held, keep_share, sliced
 
 BITS = 15
 ORDERS = (1, 2, 3, 4)
@@ -91,6 +91,7 @@ def _document_frequency(texts: DataFrame, bits: int):
 
         seen = np.zeros(1 << bits, dtype=np.int64)
         rows = 0
+        held()
         for part in sliced(batches):
             codes, offsets = grams(part.column(0).to_pylist(), bits)
             rows += len(offsets) - 1
@@ -122,6 +123,7 @@ def _sample_features(rows: DataFrame, bits: int):
         import numpy as np
         import pyarrow as pa
 
+        held()
         for part in sliced(batches):
             codes, offsets = grams(part.column(1).to_pylist(), bits)
             buckets, shares = [], []
@@ -237,6 +239,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def run(batches):
         import pyarrow as pa
 
+        held()
         for part in sliced(batches):
             names, scores = model.predict(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
@@ -255,6 +258,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, i
     def run(batches):
         import pyarrow as pa
 
+        held()
         for part in sliced(batches):
             names, scores = model.predict(part.column(text_at).to_pylist())
             yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]))

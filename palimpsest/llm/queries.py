@@ -82,9 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op9_ball_tree_topk": """
-            with v as (select vec_id, list_transform(embedding, x -> floor(64 * cast(x as double))) as e from embeddings
+            with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e from embeddings
                        where embedding is not null and vec_id is not null
-                         and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+                         and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
                  s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
                        from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
                  r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)

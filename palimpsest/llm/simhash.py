@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, sliced, written
+from palimpsest.llm.common import bounded_batches, held, sliced, written
 from palimpsest.llm.components import components
 
 SEED, DISTANCE, SHINGLE = 42, 3, 3
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
         import numpy as np
         import pyarrow as pa
 
+        held()
         for part in sliced(batches, 1024):
             found = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["doc_id", "fp"])

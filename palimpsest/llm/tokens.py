@@ -13,6 +13,8 @@ import os
 import re
 from array import array
 
+from palimpsest.llm.common import held
+
 #: A run of other characters with at most one blank or line break before it.
 #: Any other white space stays inside a piece, together with its neighbours.
 PIECE = re.compile(r"(?:\A\s+|[ \n])?\S+(?:(?:\s\s+|[^\S \n])\S+)*(?:\s+\Z)?|\A\s+\Z")
@@ -52,7 +54,7 @@ class PieceEncoder:
     ones come early; once as many again were missed, it starts afresh.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 900_000, longest: int = 48):
         self.tokenizer, self.limit, self.longest = load(path), limit, longest
         self.memo: dict[str, bytes] = {"": b""}
         self.missed = 0
@@ -108,11 +110,6 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    """This process's encoder of a vocabulary; its memo outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    """This worker's encoder of a vocabulary; its memo outlives a task."""
+    return held(f"pieces {path}", lambda: PieceEncoder(path))
