@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from palimpsest.functions import bloom
 from palimpsest.operators.writes import sequential
+from palimpsest.shipping import ship
 
 
 def build_filters(entries: DataFrame, bits_per_key: int = 10) -> DataFrame:
@@ -23,6 +24,7 @@ def build_filters(entries: DataFrame, bits_per_key: int = 10) -> DataFrame:
         keys = [k.encode() if isinstance(k, str) else bytes(k) for k in pdf["key"]]
         return pd.DataFrame({"id": [key[0]], "keys": [len(keys)], "filter": [bloom.build(keys, bits_per_key)]})
 
+    ship(entries.sparkSession)
     return entries.select("id", "key").distinct().groupBy("id").applyInPandas(run, "id long, keys long, filter binary")
 
 
@@ -38,6 +40,7 @@ def probe_filters(filters: DataFrame, probes: DataFrame) -> DataFrame:
         hit = bloom.test(bytes(left["filter"].iloc[0]), [k.encode() if isinstance(k, str) else bytes(k) for k in keys])
         return pd.DataFrame({"id": [key[0]] * len(keys), "key": keys, "maybe": hit})
 
+    ship(probes.sparkSession)
     kind = dict(probes.dtypes)["key"]
     return filters.groupBy("id").cogroup(probes.select("id", "key").groupBy("id")).applyInPandas(run, f"id long, key {kind}, maybe boolean")
 

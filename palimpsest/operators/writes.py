@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.config import GROUP_BYTES, PUT
+from palimpsest.shipping import ship
 
 
 def last_per_key(ops: DataFrame) -> DataFrame:
@@ -107,6 +108,7 @@ def sequential(df: DataFrame, queue: str, order: list[str], start: Callable, ste
                 out.append(step(state, row))
             yield pd.DataFrame(out, columns=names)
 
+    ship(df.sparkSession)
     return df.repartition(queue).sortWithinPartitions(queue, *order).mapInPandas(run, schema)
 
 

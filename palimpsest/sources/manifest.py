@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.config import LEVELS
 from palimpsest.errors import Corruption
+from palimpsest.shipping import ship
 
 # Fixed values of the layout: tags of the edits; 0x10 + level adds a table.
 TAGS = {"REMOVE": 2, "LOGNUM": 3, "FORMAT": 4, "LASTSEQ": 5, "GROUP": 6}
@@ -72,4 +73,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for content in pdf["content"]:
                 yield pd.DataFrame(replay(bytes(content)), columns=["pos", "op", "id", "level"]).astype({"level": "Int32"})
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "pos long, op string, id long, level int")

@@ -7,6 +7,7 @@ bytes so far and says how many it used, or that more are needed.
 from __future__ import annotations
 
 from palimpsest.errors import ProtocolError
+from palimpsest.shipping import ship
 
 # Fixed values of the protocol: limits on one request.
 MAX_BULK, MAX_ARGS, MAX_LINE = 64 << 20, 1 << 20, 64 << 10
@@ -132,4 +133,5 @@ def commands(requests):
                         pos += 1
             yield pd.DataFrame(rows, columns=["id", "pos", "name", "args"])
 
+    ship(requests.sparkSession)
     return requests.select("id", "data").mapInPandas(run, "id long, pos long, name string, args array<binary>")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.config import BLOCK_BYTES, DELETE, RESTART_EVERY
 from palimpsest.errors import Corruption, InvalidArgument
 from palimpsest.functions import bloom
+from palimpsest.shipping import ship
 
 # Fixed value of the layout: the last eight bytes of a file.
 MAGIC = b"LSMKVSS3"
@@ -160,6 +161,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for n in range(len(table.blocks)):
                     yield pd.DataFrame([(name, k, s, 1 if v is not None else 2, v) for k, s, v in table.block(n)], columns=["file", "key", "seq", "kind", "value"])
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
 
 
@@ -178,5 +180,6 @@ def files(history: DataFrame, parts: int, block_bytes: int = BLOCK_BYTES, bloom_
         if writer.count:
             yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "content": [writer.finish()]})
 
+    ship(history.sparkSession)
     rows = history.select(F.col("key").cast("binary").alias("key"), "seq", F.col("kind").cast("int").alias("kind"), F.col("value").cast("binary").alias("value"))
     return rows.repartitionByRange(parts, "key").sortWithinPartitions("key", F.desc("seq")).mapInPandas(run, "part int, content binary")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.config import PUT
+from palimpsest.shipping import ship
 
 
 def latest(feed: DataFrame) -> DataFrame:
@@ -51,6 +52,7 @@ def latest_updates(feed: DataFrame) -> DataFrame:
         def close(self) -> None:
             pass
 
+    ship(feed.sparkSession)
     ready = feed.select("key", "seq", F.col("kind").cast("int").alias("kind"), "value")
     return ready.groupBy("key").transformWithStateInPandas(Newest(), "key string, seq long, kind int, value string", "Update", "None")
 
