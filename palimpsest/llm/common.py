@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, through Spark's own reader so that any store works."""
@@ -57,7 +59,9 @@ def keep_share(shares: dict, key: Column, row_id: Column) -> Column:
 
 
 def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
-    """Let Arrow batches to Python end by size too: texts can be very long."""
+    """Prepare for work in Python: workers get the code, and Arrow batches end by
+    size too, as texts can be very long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import written
+from palimpsest.llm.common import bounded_batches, written
 
 LEAF = 256
 
@@ -133,7 +133,7 @@ def top_k(
     Scores are exact below 2**53.  Returns ``query_id, rank, vec_id, score``; a
     query without candidates has no rows; other columns are ignored.
     """
-    spark = vectors.sparkSession
+    bounded_batches(vectors.sparkSession)
     finite = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite).select(
         F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("vector")
