@@ -265,7 +265,32 @@ def user_bytes(spark, sf_dir):
     return h.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("versions"), F.sum(hist.user_bytes(h)).cast("long").alias("n_bytes"))
 
 
-@query()
+
+#: A fold of SET, DEL and INCR per key in order, failures included: ``c`` has
+#: ``k, pos, op, arg`` with positions from 1.
+_FOLD_SQL = """
+, s as (select *, case when op = 'INCR' and regexp_full_match(arg, '[+-]?[0-9]+') then try_cast(arg as bigint) end as n from c)
+, f(k, pos, value, failed) as (
+    select k, pos, case op when 'SET' then arg when 'INCR' then cast(n as varchar) end, case when op = 'INCR' and n is null then cast(1 as bigint) else 0 end from s where pos = 1
+    union all
+    select s.k, s.pos,
+      case s.op when 'SET' then s.arg when 'DEL' then null else case when s.n is null then f.value
+        when f.value is not null and (not regexp_full_match(f.value, '[+-]?[0-9]+') or try_cast(f.value as bigint) is null) then f.value
+        when cast(coalesce(f.value, '0') as hugeint) + s.n not between -9223372036854775808 and 9223372036854775807 then f.value
+        else cast(cast(coalesce(f.value, '0') as hugeint) + s.n as varchar) end end,
+      f.failed + case when s.op <> 'INCR' then 0 when s.n is null then 1
+        when f.value is not null and (not regexp_full_match(f.value, '[+-]?[0-9]+') or try_cast(f.value as bigint) is null) then 1
+        when cast(coalesce(f.value, '0') as hugeint) + s.n not between -9223372036854775808 and 9223372036854775807 then 1 else 0 end
+    from f join s on s.k = f.k and s.pos = f.pos + 1)
+select k as key, value, failed from (select *, max(pos) over (partition by k) as top from f) t where pos = top"""
+_COMMANDS_SQL = """--recursive
+, c as (select concat('user:', lpad(cast(user_id as varchar(20)), 6, '0')) as k, row_number() over (partition by user_id order by event_id) as pos,
+    case event_type when 'purchase' then 'SET' when 'error' then 'DEL' else 'INCR' end as op, {0} as arg from events)
+"""
+
+
+@query(_COMMANDS_SQL.format("""case when event_id % 11 = 0 then '9223372036854775807' when event_id % 13 = 0 then ' 5 '
+    else cast(cast(round(value) as bigint) as varchar) end""") + _FOLD_SQL)
 def incr_errors(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     op = F.when(F.col("event_type") == "purchase", "SET").when(F.col("event_type") == "error", "DEL").otherwise("INCR")
@@ -273,14 +298,30 @@ def incr_errors(spark, sf_dir):
     return writes.fold_commands(e.select(user_key(F.col("user_id")).alias("key"), (F.col("event_id") + 1).alias("seq"), op.alias("op"), big.alias("arg")))
 
 
-@query()
+@query("""--recursive
+, e as (select user_id % 8 as queue, row_number() over (partition by user_id % 8 order by event_id) as pos, event_id * 7919 % 9000 + 1 as n from events)
+, f(queue, pos, grp, total, n) as (
+    select queue, pos, cast(0 as bigint), n, n from e where pos = 1
+    union all
+    select e.queue, e.pos, case when f.total + e.n > 20000 then f.grp + 1 else f.grp end, case when f.total + e.n > 20000 then e.n else f.total + e.n end, e.n
+    from f join e on e.queue = f.queue and e.pos = f.pos + 1)
+select queue, grp, count(*) as entries, cast(sum(n) as bigint) as n_bytes from f group by queue, grp""")
 def group_sizes(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     entries = e.select((F.col("user_id") % 8).alias("queue"), F.col("event_id").alias("ticket"), (F.col("event_id") * 7919 % 9000 + 1).alias("bytes"))
     return writes.write_groups(entries, 20000).groupBy("queue", "grp").agg(F.count(F.lit(1)).alias("entries"), F.sum("bytes").alias("n_bytes"))
 
 
-@query()
+@query("""--recursive
+, e as (select cast(substr(k, 10, 1) as bigint) as part, k, row_number() over (partition by substr(k, 10, 1) order by k, seq desc) as pos,
+    strlen(k) + coalesce(strlen(v), 0) + 17 as n from h)
+, f(part, pos, file, total, n, k) as (
+    select part, pos, cast(0 as bigint), n, n, k from e where pos = 1
+    union all
+    select e.part, e.pos, case when f.total >= 4096 and e.k <> f.k then f.file + 1 else f.file end,
+      case when f.total >= 4096 and e.k <> f.k then e.n else f.total + e.n end, e.n, e.k
+    from f join e on e.part = f.part and e.pos = f.pos + 1)
+select part, file, min(k) as smallest, max(k) as largest, cast(sum(n) as bigint) as n_bytes from f group by part, file""")
 def split_files(spark, sf_dir):
     h = history(spark, sf_dir)
     entries = h.select((F.substring("key", 10, 1).cast("long")).alias("part"), "key", "seq", (hist.user_bytes(h) + 17).cast("long").alias("bytes"))
@@ -512,7 +553,14 @@ def lru_hits(spark, sf_dir):
     return filters.cache_hits(accesses, 4000).groupBy("queue").agg(F.count(F.lit(1)).alias("accesses"), F.sum("hit").alias("hits"))
 
 
-@query()
+@query("""--recursive
+, e as (select seq % 4 as queue, row_number() over (partition by seq % 4 order by seq) as pos, strlen(k) + coalesce(strlen(v), 0) + 8 as n from h)
+, f(queue, pos, buffer, total, n) as (
+    select queue, pos, cast(0 as bigint), n, n from e where pos = 1
+    union all
+    select e.queue, e.pos, case when f.total >= 4096 then f.buffer + 1 else f.buffer end, case when f.total >= 4096 then e.n else f.total + e.n end, e.n
+    from f join e on e.queue = f.queue and e.pos = f.pos + 1)
+select queue, buffer, count(*) as versions, cast(sum(n) as bigint) as n_bytes from f group by queue, buffer""")
 def memtable_switches(spark, sf_dir):
     h = history(spark, sf_dir)
     entries = h.select((F.col("seq") % 4).alias("queue"), "seq", (hist.user_bytes(h) + 8).cast("long").alias("bytes"))
@@ -528,7 +576,7 @@ def keys_within_one_file(spark, sf_dir):
     return spans.agg(F.count_if(F.col("n") > 1).alias("split_keys"))
 
 
-@query()
+@query(_COMMANDS_SQL.format("case when event_type = 'purchase' then cast(cast(round(value) as bigint) as varchar) else '1' end") + _FOLD_SQL)
 def exec_replies(spark, sf_dir):
     """Wire requests of one session per user, parsed and folded to counters."""
     from palimpsest.sources import resp

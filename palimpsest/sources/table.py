@@ -18,8 +18,8 @@ from palimpsest.errors import Corruption, InvalidArgument
 from palimpsest.functions import bloom
 from palimpsest.shipping import ship
 
-# Fixed value of the layout: the last eight bytes of a file.
-MAGIC = b"LSMKVSS3"
+#: The last eight bytes of a file.
+MAGIC = b"PALIMPS3"
 ENTRY, FOOTER = struct.Struct("<BQII"), struct.Struct("<QQQQQ")
 SCHEMA = "file string, key binary, seq long, kind int, value binary"
 
