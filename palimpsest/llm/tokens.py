@@ -19,6 +19,8 @@ from palimpsest.llm.common import held
 #: Any other white space stays inside a piece, together with its neighbours.
 PIECE = re.compile(r"(?:\A\s+|[ \n])?\S+(?:(?:\s\s+|[^\S \n])\S+)*(?:\s+\Z)?|\A\s+\Z")
 
+#: Pieces a worker remembers at most (about 250 MB).
+MEMO = 1_400_000
 #: Joins pieces for the library: a control character no white-space run touches.
 MARK = " \x01"
 
@@ -54,7 +56,7 @@ class PieceEncoder:
     ones come early; once as many again were missed, it starts afresh.
     """
 
-    def __init__(self, path: str, limit: int = 900_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = MEMO, longest: int = 48):
         self.tokenizer, self.limit, self.longest = load(path), limit, longest
         self.memo: dict[str, bytes] = {"": b""}
         self.missed = 0
@@ -110,6 +112,6 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, limit: int = MEMO) -> PieceEncoder:
     """This worker's encoder of a vocabulary; its memo outlives a task."""
-    return held(f"pieces {path}", lambda: PieceEncoder(path))
+    return held(f"pieces {path}", lambda: PieceEncoder(path, limit))
