@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import bounded_batches, sliced
-from palimpsest.llm.tokens import MEMO, encoder
+from palimpsest.llm.tokens import encoder
 
 CAPACITY = 2048
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
@@ -96,7 +96,7 @@ def cuts(tokens: int, capacity: int, piece: int) -> Iterator[tuple[int, int]]:
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, piece: int = 512,
-    block_tokens: int = 1 << 20, memo: int = MEMO, id_col: str = "doc_id", text_col: str = "text",
+    block_tokens: int = 1 << 17, memo: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Encode every document, append ``end_id`` and pack all ids into sequences.
 

@@ -60,6 +60,8 @@ class PieceEncoder:
         self.tokenizer, self.limit, self.longest = load(path), limit, longest
         self.memo: dict[str, bytes] = {"": b""}
         self.missed = 0
+        normal = self.tokenizer.normalizer
+        self.folds = normal is not None and normal.normalize_str("Ab") == "ab"
         self.mark = array("I", self.tokenizer.encode(MARK, add_special_tokens=False).ids)
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -87,6 +89,8 @@ class PieceEncoder:
         get, cut, plain, odd = self.memo.get, [], {}, {}
         for text in texts:
             text = text or ""
+            if self.folds and text.isascii() and "<|" not in text:  # the library would do so anyway
+                text = text.lower()
             pieces = [] if MARK[-1] in text or "\0" in text else text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             known = list(map(get, pieces))
             new = dict.fromkeys([p for p, ids in zip(pieces, known, strict=True) if ids is None]) if None in known else {}

@@ -25,13 +25,13 @@ def packed(ids):
 
 def random_texts(n, seed):
     rnd = random.Random(seed)
-    parts = ["a", "b ", " ", "\n", "é", "'s", "日", " the", "1", "!!", "<|endoftext|>", "  ", "\t", "\r\n", "́", " Σ", "\x01", "word " * 40, ".", ","]
+    parts = ["a", "b ", " ", "\n", "é", "'s", "日", " the", "1", "!!", "<|endoftext|>", "  ", "\t", "\r\n", "́", " Σ", "\x01", "word " * 40, ".", ",", "ABC", "<|ENDOFTEXT|>"]
     return ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 600))) for _ in range(n)]
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_piece_encoder_is_the_library(path, edge_rows):
-    texts = [r[1] for r in edge_rows] + random_texts(60, 1)
+    texts = [r[1] for r in edge_rows] + random_texts(60, 1) + ["Only ASCII, In Upper CASE.\nAnd <|ENDOFTEXT|> too", "PLAIN Words " * 9, "J\u030c H\u0331 \u0130 \u03a3\u03a3"]
     enc = PieceEncoder(path, limit=50)  # a tiny memo starts afresh again and again
     want = [packed(x) for x in library(path, texts)]
     assert enc.encode(texts) == want
