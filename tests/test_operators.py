@@ -80,6 +80,18 @@ def test_group_verdicts(spark):
     assert got == {(0, 1): 1, (0, 2): 0, (0, 3): 1, (0, 4): 1, (0, 5): 0, (1, 1): 1}
 
 
+def test_every_group_is_judged(spark, sf_dir):
+    written, want = {}, {}
+    for e in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect():
+        grp, key, lock = e["event_id"] // 20, e["user_id"] % 12, (e["user_id"] + e["event_id"]) % 12
+        seen = written.setdefault(grp, set())
+        ok = e["event_id"] % 4 == 0 or not seen & {key, lock}
+        seen |= {key} if ok else set()
+        want[grp, e["event_id"]] = int(ok)
+    got = catalogue.QUERIES["tx_group_conflicts_all"](spark, sf_dir).collect()
+    assert len(got) == len(want) == 1000 and {(r["grp"], r["ticket"]): r["accepted"] for r in got} == want
+
+
 def test_greedy_folds(spark):
     e = spark.createDataFrame([(q, t, b) for q in (1, 2) for t, b in enumerate([50, 60, 40, 200, 1, 99])], "queue long, ticket long, bytes long")
     got = [r["grp"] for r in writes.write_groups(e, 100).filter("queue = 1").orderBy("ticket").collect()]
