@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Sequence numbers per block: no task holds more of one key's versions at once.
+BLOCK = 1 << 16
+
+
 def conflicts(history: DataFrame, checked: DataFrame) -> DataFrame:
     """Transactions ``tx_id`` and whether a version after their snapshot exists.
 
     ``checked`` has a row ``tx_id, key, read_seq, commit_seq`` for every written or
     locked key; a version with ``read_seq < seq <= commit_seq`` is a conflict,
     deletions included.  Values are not read.
+
+    Such a version exists exactly if the newest one up to ``commit_seq`` is after
+    ``read_seq``: a running maximum within blocks of sequence numbers, and the
+    newest of the key's earlier blocks, so pairs of a hot key are never formed.
     """
-    h = history.select(F.col("key").alias("_key"), "seq")
-    clash = checked.join(h, (F.col("key") == F.col("_key")) & (F.col("seq") > F.col("read_seq")) & (F.col("seq") <= F.col("commit_seq")), "left_semi")
-    hit = clash.select("tx_id").distinct().withColumn("_hit", F.lit(1))
+    own = history.select("key", F.col("seq").alias("at"), F.col("seq").alias("_seq"))
+    asked = checked.select("key", F.col("commit_seq").alias("at"), "tx_id", "read_seq", F.lit(True).alias("_asked"))
+    rows = own.unionByName(asked, allowMissingColumns=True).filter("key is not null and at is not null").withColumn("_block", F.floor(F.col("at") / BLOCK))
+    # at equal numbers the version comes first
+    upto = Window.partitionBy("key", "_block").orderBy("at", F.col("_asked").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy("key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = rows.groupBy("key", "_block").agg(F.max("_seq").alias("_top")).select("key", "_block", F.max("_top").over(past).alias("_earlier"))
+    newest = rows.withColumn("_here", F.max("_seq").over(upto)).filter("_asked").join(earlier, ["key", "_block"])
+    hit = newest.filter(F.coalesce("_here", "_earlier") > F.col("read_seq")).select("tx_id").distinct().withColumn("_hit", F.lit(1))
     return checked.select("tx_id").distinct().join(hit, "tx_id", "left").select("tx_id", F.coalesce("_hit", F.lit(0)).cast("long").alias("conflict"))
 
 

@@ -336,11 +336,20 @@ def split_files(spark, sf_dir):
     from events where event_id % 97 = 0)
 select txid, case when exists (select 1 from h where h.k = tx.k and h.seq > tx.read_seq and h.seq <= tx.commit_seq) then cast(1 as bigint) else 0 end as conflict from tx""")
 def tx_conflicts(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 97 = 0")
-    checked = e.select(F.col("event_id").alias("tx_id"), user_key(F.col("user_id")).alias("key"), (F.col("event_id") - 50).alias("read_seq"), F.col("event_id").alias("commit_seq"))
+    checked = _checked(table(spark, sf_dir, "events").filter("event_id % 97 = 0"))
     return transactions.conflicts(history(spark, sf_dir), checked).withColumnRenamed("tx_id", "txid")
 
 
+@query()
+def tx_conflicts_all(spark, sf_dir):
+    """Every event is a transaction; the SQL above takes one in 97."""
+    return transactions.conflicts(history(spark, sf_dir), _checked(table(spark, sf_dir, "events"))).withColumnRenamed("tx_id", "txid")
+
+
+def _checked(e: DataFrame) -> DataFrame:
+    return e.select(F.col("event_id").alias("tx_id"), user_key(F.col("user_id")).alias("key"), (F.col("event_id") - 50).alias("read_seq"), F.col("event_id").alias("commit_seq"))
+
+
 @query("""--recursive
 , g as (select event_id // 20 as grp, event_id as ticket, row_number() over (partition by event_id // 20 order by event_id) as pos,
     user_id % 12 as wkey, (user_id + event_id) % 12 as lkey, event_id % 4 <> 0 as tx from events where event_id < 400)

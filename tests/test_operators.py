@@ -1,5 +1,7 @@
 """Operators on small histories, the driver's queries against their SQL."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -80,6 +82,27 @@ def test_group_verdicts(spark):
     assert got == {(0, 1): 1, (0, 2): 0, (0, 3): 1, (0, 4): 1, (0, 5): 0, (1, 1): 1}
 
 
+def test_every_event_is_a_transaction(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id").collect()
+    want = {a.event_id: int(any(b.user_id == a.user_id and a.event_id - 50 < b.event_id + 1 <= a.event_id for b in rows)) for a in rows}
+    got = catalogue.QUERIES["tx_conflicts_all"](spark, sf_dir).collect()
+    assert len(got) == len(want) == 1000 and {r["txid"]: r["conflict"] for r in got} == want and set(want.values()) == {0, 1}
+
+
+def test_conflicts_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(transactions, "BLOCK", 7)
+    rnd = random.Random(3)
+    versions = [(rnd.choice(["a", "a", "b", None]), seq) for seq in rnd.sample(range(120), 60)]
+    asked = [(n // 2, rnd.choice(["a", "b", "c", None]), rnd.randrange(120), rnd.randrange(130)) for n in range(400)]
+    asked += [(900, "a", None, 100), (901, "a", 0, None)]
+    want = {}
+    for tx, key, read, commit in asked:
+        hit = None not in (key, read, commit) and any(k == key and read < seq <= commit for k, seq in versions)
+        want[tx] = max(want.get(tx, 0), int(hit))
+    got = transactions.conflicts(spark.createDataFrame(versions, "key string, seq long"), spark.createDataFrame(asked, "tx_id long, key string, read_seq long, commit_seq long")).collect()
+    assert len(got) == len(want) and {r["tx_id"]: r["conflict"] for r in got} == want
+
+
 def test_every_group_is_judged(spark, sf_dir):
     written, want = {}, {}
     for e in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect():
