@@ -64,20 +64,20 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
 def windows_for(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Near-equal windows that fit, from the least possible count upward.
 
-    When the largest window exceeds the capacity, the count rises to what would
-    do if windows kept their distance from the mean.
+    The count starts at what the total needs, or at what the largest pieces need
+    as only so many of their size go into a window, and rises by one while the
+    largest window exceeds the capacity.
     """
     if not sizes:
         return []
-    total = sum(sizes)
-    k = -(-total // capacity)
+    k = -(-sum(sizes) // capacity)
+    for n, size in enumerate(sorted(sizes, reverse=True), 1):
+        k = max(k, -(-n // max(1, capacity // size)))
     while True:
         found = difference(sizes, k)
-        largest = max(sum(sizes[n] for n in w) for w in found)
-        if largest <= capacity:
+        if max(sum(sizes[n] for n in w) for w in found) <= capacity:
             return found
-        room = capacity - (largest - total / k)
-        k = max(k + 1, int(total / room) if room > 0 else 0)
+        k += 1
 
 
 def cuts(tokens: int, capacity: int, piece: int) -> Iterator[tuple[int, int]]:

@@ -127,6 +127,17 @@ def test_differencing():
     assert sorted(sum([8, 7, 6, 5, 4][n] for n in w) for w in packing.difference([8, 7, 6, 5, 4], 2)) == [14, 16]
 
 
+def test_least_window_count():
+    for size, copies, least in [(250, 525, 66), (400, 328, 66), (480, 273, 69), (500, 263, 66)]:
+        assert len(packing.windows_for([size] * copies)) == least
+    rnd = random.Random(8)
+    for _ in range(20):
+        sizes = [rnd.choice([rnd.randrange(1, 513), 400, 500]) for _ in range(60)]
+        k = len(packing.windows_for(sizes))
+        for fewer in range(-(-sum(sizes) // packing.CAPACITY), k):
+            assert max(sum(sizes[n] for n in w) for w in packing.difference(sizes, fewer)) > packing.CAPACITY
+
+
 def test_directly_addressable_codes():
     rnd = random.Random(6)
     for _ in range(12):
