@@ -24,14 +24,17 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _V = r"(?: version| ver| v)?"
 _LATER = r"(?: or(?: at your option)?(?: any)? later(?: version)?| only)?"
 
-#: (label, keyword every rule of the family needs, regexes in order of priority).
+#: (label, whole word every match of the family contains, regexes in order of priority).
 #: Regexes are written over lower-case words separated by single spaces.
 FAMILIES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("agpl-3.0", "affero", (
         rf"gnu affero general public license{_V} 3(?: 0)?{_LATER}", rf"affero general public license{_V} 3(?: 0)?",
         r"gnu affero general public license as published by the free software foundation",
         r"gnu affero general public license", r"affero gpl")),
-    ("agpl-3.0", "agpl", (r"spdx license identifier agpl 3 0(?: only| or later)?", r"agpl(?: v)? ?3(?: 0)?(?: only| or later)?", r"agplv3", r"gnu agpl", r"agpl license")),
+    ("agpl-3.0", "agpl", (r"spdx license identifier agpl 3 0(?: only| or later)?", r"agpl(?: v ?| )3(?: 0)?(?: only| or later)?")),
+    ("agpl-3.0", "agpl3", (r"agpl3(?: 0)?(?: only| or later)?",)),
+    ("agpl-3.0", "agplv3", (r"agplv3",)),
+    ("agpl-3.0", "agpl", (r"gnu agpl", r"agpl license")),
     ("lgpl-3.0", "lesser", (
         rf"gnu lesser general public license{_V} 3(?: 0)?{_LATER}", rf"lesser general public license{_V} 3(?: 0)?{_LATER}")),
     ("lgpl-2.1", "lesser", (
@@ -41,7 +44,11 @@ FAMILIES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
         r"gnu lesser general public license", r"lesser general public license", r"gnu lesser gpl", r"lesser gpl")),
     ("lgpl-2.0", "library", (
         rf"gnu library general public license{_V} 2(?: 0)?{_LATER}", r"gnu library general public license", r"library general public license")),
-    ("lgpl", "lgpl", (r"spdx license identifier lgpl [23] [01](?: only| or later)?", r"lgpl(?: v)? ?3(?: 0)?", r"lgpl(?: v)? ?2 1", r"gnu lgpl", r"lgpl license")),
+    ("lgpl", "lgpl", (r"spdx license identifier lgpl [23] [01](?: only| or later)?", r"lgpl(?: v ?| )3(?: 0)?")),
+    ("lgpl", "lgpl3", (r"lgpl3(?: 0)?",)),
+    ("lgpl", "lgpl", (r"lgpl(?: v ?| )2 1",)),
+    ("lgpl", "lgpl2", (r"lgpl2 1",)),
+    ("lgpl", "lgpl", (r"gnu lgpl", r"lgpl license")),
     ("lgpl-3.0", "lgplv3", (r"gnu lgplv3", r"lgplv3")),
     ("gpl-3.0", "gnu", (
         rf"gnu general public license{_V} 3(?: 0)?{_LATER}", r"gnu gpl(?: version| v)? 3(?: 0)?", r"gnu gplv3",
@@ -64,12 +71,15 @@ FAMILIES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("apache-2.0", "apache", (
         r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
         rf"apache(?: software)? license{_V} 2(?: 0)?", r"apache 2(?: 0)? license", r"spdx license identifier apache 2 0",
-        r"(?:www )?apache org licenses license 2 0", r"apache 2 0", r"apl 2 0 apache", r"asl 2 0 apache")),
+        r"(?:www )?apache org licenses license 2 0", r"apache 2 0")),
+    ("apache-2.0", "apl", (r"apl 2 0",)),
+    ("apache-2.0", "asl", (r"asl 2 0",)),
     ("apache-1.1", "apache", (rf"apache(?: software)? license{_V} 1 1", r"spdx license identifier apache 1 1", r"apache 1 1 license")),
     ("apache-1.0", "apache", (rf"apache(?: software)? license{_V} 1 0", r"spdx license identifier apache 1 0", r"apache 1 0 license")),
     ("apache", "apache", (r"apache software license", r"apache public license", r"apache style license", r"apache licensed", r"apache software foundation license")),
+    ("cc-by-nc-nd", "nd", (r"cc by nc nd(?: version)? [1234] 0", r"cc by nc nd")),
+    ("cc-by-nc-nd", "attribution", (r"creative commons attribution non ?commercial no ?deriv(?:ative|ative works|s|atives)",)),
     ("cc-by-nc-nd", "nd", (
-        r"cc by nc nd(?: version)? [1234] 0", r"cc by nc nd", r"creative commons attribution non ?commercial no ?deriv(?:ative|ative works|s|atives)",
         r"creativecommons org licenses by nc nd [1234] 0", r"creative commons by nc nd", r"spdx license identifier cc by nc nd [1234] 0")),
     ("cc-by-nc-sa", "sa", (
         r"cc by nc sa(?: version)? [1234] 0", r"cc by nc sa", r"creative commons by nc sa", r"creativecommons org licenses by nc sa [1234] 0",
@@ -83,7 +93,8 @@ FAMILIES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("cc-by-nd", "noderivatives", (r"creative commons attribution noderivatives(?: [1234] 0)?", r"attribution noderivatives [1234] 0")),
     ("cc-by-sa", "sa", (r"cc by sa(?: version)? [1234] 0", r"cc by sa", r"creative commons by sa", r"creativecommons org licenses by sa [1234] 0", r"spdx license identifier cc by sa [1234] 0")),
     ("cc-by-sa", "sharealike", (r"creative commons attribution sharealike(?: [1234] 0)?", r"attribution sharealike [1234] 0")),
-    ("cc-by", "cc", (r"cc by(?: version)? [1234] 0", r"spdx license identifier cc by [1234] 0", r"creativecommons org licenses by [1234] 0 cc")),
+    ("cc-by", "cc", (r"cc by(?: version)? [1234] 0", r"spdx license identifier cc by [1234] 0")),
+    ("cc-by", "creativecommons", (r"creativecommons org licenses by [1234] 0",)),
     ("cc-by", "attribution", (r"creative commons attribution(?: international)?(?: public)?(?: license)?(?: [1234] 0)?", r"attribution [1234] 0 international")),
     ("cc0", "cc0", (r"spdx license identifier cc0 1 0", r"creative commons cc0(?: 1 0)?(?: universal)?", r"cc0 1 0(?: universal)?", r"cc0 license", r"under cc0")),
     ("cc0", "zero", (r"creative commons zero(?: v)?(?: 1 0)?(?: universal)?", r"creativecommons org publicdomain zero 1 0")),
@@ -101,11 +112,14 @@ FAMILIES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
         r"permission is hereby granted free of charge to any person obtaining a copy")),
     ("isc", "isc", (r"spdx license identifier isc", r"isc license", r"licensed under (?:the )?isc", r"opensource org licenses isc(?: license)?", r"internet systems consortium isc license")),
     ("isc", "permission", (r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",)),
-    ("bsd-2-clause", "bsd", (r"spdx license identifier bsd 2 clause", r"bsd 2 clause(?: license)?", r"simplified bsd license", r"2 clause bsd", r"two clause bsd", r"freebsd license bsd")),
+    ("bsd-2-clause", "bsd", (r"spdx license identifier bsd 2 clause", r"bsd 2 clause(?: license)?", r"simplified bsd license", r"2 clause bsd", r"two clause bsd")),
+    ("bsd-2-clause", "freebsd", (r"freebsd license",)),
     ("bsd-3-clause", "bsd", (r"spdx license identifier bsd 3 clause", r"bsd 3 clause(?: clear)?(?: license)?", r"new bsd license", r"revised bsd license", r"modified bsd license", r"3 clause bsd", r"three clause bsd")),
     ("bsd-4-clause", "bsd", (r"spdx license identifier bsd 4 clause", r"bsd 4 clause(?: license)?", r"original bsd license", r"4 clause bsd")),
-    ("0bsd", "0bsd", (r"spdx license identifier 0bsd", r"0bsd license", r"zero clause bsd 0bsd")),
-    ("bsd", "bsd", (r"bsd style license", r"bsd licensed", r"bsd license", r"berkeley software distribution bsd", r"zero clause bsd")),
+    ("0bsd", "0bsd", (r"spdx license identifier 0bsd", r"0bsd license")),
+    ("0bsd", "zero", (r"zero clause bsd",)),
+    ("bsd", "bsd", (r"bsd style license", r"bsd licensed", r"bsd license")),
+    ("bsd", "berkeley", (r"berkeley software distribution",)),
     ("bsd", "redistributions", (
         r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
         r"redistributions in binary form must reproduce the above copyright notice")),
@@ -144,7 +158,7 @@ FAMILIES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("zlib", "freely", (r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",)),
     ("libpng", "libpng", (r"spdx license identifier libpng 2 0", r"libpng license")),
     ("postgresql", "postgresql", (r"spdx license identifier postgresql", r"postgresql licen[cs]e")),
-    ("python-2.0", "python", (rf"python software foundation license{_V} 2", r"python software foundation license", r"psf license python", r"python license", r"spdx license identifier python 2 0")),
+    ("python-2.0", "python", (rf"python software foundation license{_V} 2", r"python software foundation license", r"python license", r"spdx license identifier python 2 0")),
     ("psf-2.0", "psf", (r"spdx license identifier psf 2 0", r"psf license")),
     ("ruby", "ruby", (r"spdx license identifier ruby", r"ruby license", r"same terms as ruby")),
     ("perl", "perl", (r"same terms as perl(?: itself)?", r"perl license")),
@@ -153,8 +167,11 @@ FAMILIES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("ofl-1.1", "ofl", (r"spdx license identifier ofl 1 1", r"ofl 1 1", r"ofl license")),
     ("odbl-1.0", "odbl", (r"spdx license identifier odbl 1 0", r"odbl(?: version)? 1 0", r"odbl license")),
     ("odbl-1.0", "database", (r"open data commons open database license", r"open database license(?: odbl)?(?: v1 0)?")),
-    ("odc-by-1.0", "commons", (r"open data commons attribution license(?: v1 0)?", r"opendatacommons org licenses by commons")),
-    ("pddl-1.0", "pddl", (r"spdx license identifier pddl 1 0", r"open data commons public domain dedication and license pddl", r"pddl license")),
+    ("odc-by-1.0", "commons", (r"open data commons attribution license(?: v1 0)?",)),
+    ("odc-by-1.0", "opendatacommons", (r"opendatacommons org licenses by",)),
+    ("pddl-1.0", "pddl", (r"spdx license identifier pddl 1 0",)),
+    ("pddl-1.0", "dedication", (r"open data commons public domain dedication and license(?: pddl)?",)),
+    ("pddl-1.0", "pddl", (r"pddl license",)),
     ("ms-pl", "microsoft", (r"microsoft public license(?: ms pl)?", r"microsoft reciprocal license(?: ms rl)?", r"microsoft permissive license")),
     ("ms-pl", "ms", (r"spdx license identifier ms pl", r"ms pl license")),
     ("osl-3.0", "osl", (r"spdx license identifier osl 3 0", r"osl 3 0")),
@@ -174,11 +191,15 @@ FAMILIES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("bittorrent", "bittorrent", (r"bittorrent open source license",)),
     ("beerware", "beerware", (r"spdx license identifier beerware", r"beerware license", r"the beerware license revision 42")),
     ("json", "evil", (r"the software shall be used for good not evil",)),
-    ("mulan-2.0", "mulan", (r"mulan permissive software license(?: version)? 2", r"mulan psl v2", r"mulanpsl 2 0 mulan")),
-    ("openrail", "openrail", (r"creativeml open ?rail m", r"bigscience openrail m", r"openrail m? ?license", r"openrail")),
+    ("mulan-2.0", "mulan", (r"mulan permissive software license(?: version)? 2", r"mulan psl v2")),
+    ("mulan-2.0", "mulanpsl", (r"mulanpsl 2 0",)),
+    ("openrail", "creativeml", (r"creativeml open ?rail m",)),
+    ("openrail", "openrail", (r"bigscience openrail m", r"openrail m? ?license", r"openrail")),
     ("llama", "llama", (r"llama [234](?: [123])? community license(?: agreement)?", r"llama community license")),
     ("proprietary", "proprietary", (r"proprietary and confidential", r"proprietary license", r"confidential and proprietary")),
-    ("all-rights-reserved", "rights", (r"all rights reserved", r"alle rechte vorbehalten rights", r"some rights reserved")),
+    ("all-rights-reserved", "rights", (r"all rights reserved",)),
+    ("all-rights-reserved", "vorbehalten", (r"alle rechte vorbehalten",)),
+    ("all-rights-reserved", "rights", (r"some rights reserved",)),
     ("copyright", "copyright", (r"copyright c (?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", r"copyright (?:19|20)[0-9][0-9]", r"under copyright law")),
     ("other", "license", (r"licensed under the [^ ]+(?: [^ ]+){0,3} license", r"see the license file", r"license agreement", r"license terms", r"software license", r"open source license")),
     ("other", "licence", (r"released under the [^ ]+ licence", r"see the licence file", r"licence agreement", r"software licence")),
@@ -188,7 +209,8 @@ FAMILIES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 GATE = (
     r"licen[cs]|copyright|copyleft|spdx|cc by|cc0|creative ?commons|public ?domain|(?<= )[al]?gpl|gnu |unlicense|wtfpl|all rights|some rights|"
     r"proprietary|redistribut|permission|(?<= )(?:mpl|epl|cddl|eupl|odbl|osl|busl|bsl|sspl|ofl|pddl) |bsd|apache|mozilla|opensource org|"
-    r"openrail|gfdl|mulan|beerware|attribution|unencumbered|same terms as|not evil|creativeml|confidential"
+    r"openrail|gfdl|mulan|beerware|attribution|unencumbered|same terms as|not evil|creativeml|confidential|"
+    r"(?<= )a[ps]l 2 0 |berkeley software|rechte vorbehalten|opendatacommons"
 )
 
 

@@ -3,6 +3,8 @@
 import re
 from collections import namedtuple
 
+import pytest
+
 from palimpsest.llm import licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -74,3 +76,65 @@ def test_hundreds_of_distinct_rules():
     assert len({(label, regex) for _, label, _, regex in all_rules}) == len(all_rules)
     for _, _, _, regex in all_rules:
         re.compile(regex)
+
+
+def samples(tree):
+    """Texts a parsed regex matches: every alternative, optional parts left out and taken."""
+    out = [""]
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            own = [chr(arg)]
+        elif kind == "NOT_LITERAL":
+            own = ["x"]
+        elif kind == "IN":
+            own = ["x"] if str(arg[0][0]) == "NEGATE" else [chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg[:2]]
+        elif kind == "BRANCH":
+            own = [t for branch in arg[1] for t in samples(branch)]
+        elif kind == "SUBPATTERN":
+            own = samples(arg[-1])
+        else:
+            assert kind == "MAX_REPEAT", kind
+            one = samples(arg[2])
+            own = [""] * (arg[0] == 0) + one if arg[1] == 1 else one
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def ungated(text):
+    """Labels by all rules over the words of ``text``: no gate, no keyword."""
+    words = WORD.findall(text.lower())
+    norm = " " + " ".join(words) + " "
+    hits = [(m.start(), m.end(), rank, label) for rank, label, _, regex in licenses.rules() for m in re.finditer(rf"(?<= )(?:{regex})(?= )", norm)]
+    stay = {h[3] for h in hits if not any(o is not h and o[0] <= h[0] and h[1] <= o[1] and ((o[0], o[1]) != (h[0], h[1]) or o[2] < h[2]) for o in hits)}
+    return ",".join(sorted(stay | {label for phrase, label in licenses.BASE if f" {phrase} " in norm}))
+
+
+def test_keyword_and_gate_hide_no_match():
+    for _, label, word, regex in licenses.rules():
+        for text in samples(re._parser.parse(regex)):
+            norm = f" {text} "
+            assert re.search(rf"(?<= )(?:{regex})(?= )", norm), (regex, text)
+            assert f" {word} " in norm, (label, word, text)
+            assert re.search(licenses.GATE, norm), (label, text)
+
+
+def test_one_sample_per_rule_without_gates(spark, documents):
+    texts = ["so " + samples(re._parser.parse(regex))[0] + " it is" for _, _, _, regex in licenses.rules()]
+    rows = documents.select("doc_id", "text").filter("text is not null").collect() + [(10**9 + k, t) for k, t in enumerate(texts)]
+    want = {k: ungated(t) for k, t in rows}
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and all(want[10**9 + k] for k in range(len(texts)))
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("under AGPLv3", "agpl-3.0"), ("AGPL3", "agpl-3.0"), ("LGPL3", "lgpl"), ("LGPL2.1", "lgpl"), ("Creative Commons Attribution-NonCommercial-NoDerivatives", "cc-by-nc-nd"),
+        ("CreativeML Open RAIL-M", "openrail"), ("https://creativecommons.org/licenses/by/4.0/", "cc-by"), ("MulanPSL-2.0", "mulan-2.0"),
+        ("https://opendatacommons.org/licenses/by/", "odc-by-1.0"), ("ASL 2.0", "apache-2.0"), ("Zero-Clause BSD", "0bsd"), ("the FreeBSD License", "bsd-2-clause"),
+        ("Berkeley Software Distribution", "bsd"), ("Alle Rechte vorbehalten", "all-rights-reserved"), ("Open Data Commons Public Domain Dedication and License", "pddl-1.0"),
+    ],
+)
+def test_labels_that_were_hidden(spark, text, label):
+    assert licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == label
