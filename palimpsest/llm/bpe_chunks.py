@@ -1,12 +1,12 @@
 """BPE encoding with reuse of content-defined chunks.
 
 Whole texts are cut where a rolling hash of the last 32 bytes says so, so equal
-passages give equal chunks wherever they stand.  Documents are first brought
-together by the smallest hash of their lines, which puts copies and near copies
-in one task; there every chunk is encoded once and found in a bounded memo
-afterwards.  Encoding chunks one by one is wrong around the cuts.  Each join is
-therefore repaired: a window around it is encoded again and widened until, on
-both sides, it agrees with the chunks' own ids over a whole word.
+passages give equal chunks wherever they stand.  Documents are first ordered by the
+smallest hash of their lines, so that copies and near copies follow one another in
+a task; there every chunk is encoded once and found in a small memo afterwards.
+Encoding chunks one by one is wrong around the cuts.  Each join is therefore
+repaired: a window around it is encoded again and widened, to the whole text if
+need be, until on both sides it agrees with the chunks' own ids over a whole word.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import bounded_batches, held, sliced
-from palimpsest.llm.tokens import PieceEncoder
+from palimpsest.llm.tokens import ByteRanks
 
 WINDOW = 32
 #: Mean, least and greatest chunk length in bytes.
 MEAN, LEAST, MOST = 512, 64, 4096
-#: How far back a join's window may reach before the whole text is encoded instead.
-FAR = 1 << 16
+#: Bytes hashed at a time: bounds the working memory, whatever a text's length.
+BLOCK = 1 << 18
+#: Words each side of a join's first window.
+WORDS = 2
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
@@ -39,22 +41,34 @@ def _gear():
     return x
 
 
+def _marks(joined, gear):
+    """Places in a byte array before which the rolling hash of 32 bytes cuts."""
+    import numpy as np
+
+    found = []
+    for at in range(0, len(joined), BLOCK):
+        lead = min(at, WINDOW - 1)
+        h = gear[joined[at - lead : at + BLOCK + 1]]
+        span = 1
+        while span < WINDOW:  # sum of gear[b[i - j]] << j over the window, by doubling
+            h[span:] += h[:-span] << np.uint64(span)  # the right side is computed first
+            span *= 2
+        found.append(np.flatnonzero((h[lead:-1] >> np.uint64(24)) % np.uint64(MEAN) == 0) + at + 1)
+    marks = np.concatenate(found)
+    return marks[(joined[np.minimum(marks, len(joined) - 1)] & 0xC0) != 0x80]
+
+
 def chunk(texts: list[bytes], gear=None) -> list[list[bytes]]:
-    """Content-defined chunks of every text; cuts fall between characters."""
+    """Content-defined chunks of every text; cuts fall between characters.
+
+    A chunk with too few words to repair a join in belongs to the one before it
+    (the first one to the next), so a run without blanks is one chunk.
+    """
     import numpy as np
 
     gear = _gear() if gear is None else gear
     apart = b"\0" * WINDOW  # keeps one text's bytes out of the next one's hash
-    joined = np.frombuffer(apart.join(texts) + apart, dtype=np.uint8)
-    h = gear[joined]
-    span = 1
-    while span < WINDOW:  # sum of gear[b[i - j]] << j over the window, by doubling
-        shifted = np.zeros_like(h)
-        shifted[span:] = h[:-span] << np.uint64(span)
-        h = h + shifted
-        span *= 2
-    starts = (joined[1:] & 0xC0) != 0x80
-    marks = np.flatnonzero(((h[:-1] >> np.uint64(24)) % np.uint64(MEAN) == 0) & starts) + 1
+    marks = _marks(np.frombuffer(apart.join(texts) + apart, dtype=np.uint8), gear)
     out, at = [], 0
     for text in texts:
         end = at + len(text)
@@ -69,7 +83,14 @@ def chunk(texts: list[bytes], gear=None) -> list[list[bytes]]:
             if m - last >= LEAST and m < end:
                 cuts.append(m)
                 last = m
-        edges = [0, *(c - at for c in cuts), len(text)]
+        edges = [0]
+        for c in cuts:
+            c -= at
+            if _blanks_on(text[edges[-1] : c], WORDS + 1) < c - edges[-1]:
+                edges.append(c)
+        while len(edges) > 1 and _blanks_on(text[edges[-1] :], WORDS + 1) == len(text) - edges[-1]:
+            edges.pop()
+        edges.append(len(text))
         out.append([text[i:j] for i, j in zip(edges, edges[1:], strict=False) if j > i])
         at = end + WINDOW
     return out
@@ -79,16 +100,13 @@ def _plain(byte: int) -> bool:
     return 0x21 <= byte <= 0x7E
 
 
-def _blanks_back(text: bytes, end: int, count: int) -> int | None:
-    """The ``count``-th last blank before ``end`` between two plain characters.
-
-    0 if the text begins first, None if none is found within ``FAR`` bytes.
-    """
-    p, least = end, max(1, end - FAR)
+def _blanks_back(text: bytes, end: int, count: int) -> int:
+    """The ``count``-th last blank before ``end`` between two plain characters, or 0."""
+    p = end
     while count:
-        p = text.rfind(b" ", least, p)
+        p = text.rfind(b" ", 1, p)
         if p < 0:
-            return 0 if least == 1 else None
+            return 0
         count -= p + 1 < end and _plain(text[p - 1]) and _plain(text[p + 1])
     return p
 
@@ -107,19 +125,16 @@ def _blanks_on(text: bytes, count: int) -> int:
 class ChunkEncoder:
     """Texts to ids by chunk reuse, and ids back to text."""
 
-    def __init__(self, path: str, memo_bytes: int = 96 << 20):
-        self.words, self.memo_bytes, self.gear = PieceEncoder(path, limit=700_000), memo_bytes, _gear()
-        self.tokenizer = self.words.tokenizer
+    def __init__(self, path: str, memo_bytes: int = 32 << 20):
+        self.ranks, self.memo_bytes, self.gear = ByteRanks(path), memo_bytes, _gear()
         self.memo: dict[bytes, array] = {}
         self.held = self.encoded = self.reused = self.widened = 0
-        back = {c: b for b, c in _byte_characters().items()}
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.bytes = [bytes(back[c] for c in self.tokenizer.id_to_token(k)) for k in range(size)]
+        self.bytes = self.ranks.bytes
         self.width = [len(b) for b in self.bytes]
 
-    def _library(self, pieces: list[bytes]) -> list[array]:
-        """The library's ids of each piece of text, frequent words from a memo."""
-        return [array("I", x) for x in self.words.encode([p.decode() for p in pieces])]
+    def _whole(self, pieces: list[bytes]) -> list[array]:
+        """The ids of each piece, encoded as one text."""
+        return list(map(self.ranks.encode, pieces))
 
     def _tokens_back(self, ids: array, size: int) -> int | None:
         """How many of the last ids make exactly ``size`` bytes."""
@@ -136,18 +151,16 @@ class ChunkEncoder:
             n += 1
         return n if size == 0 else None
 
-    def _join(self, text: bytes, at: int, ids: array, right: bytes, own: array, first: dict[bytes, array]) -> bool:
+    def _join(self, text: bytes, at: int, ids: array, right: bytes, own: array, first: dict[bytes, array]) -> None:
         """Append ``right`` to the ids of ``text[:at]``, repairing the join.
 
-        False if no window up to ``FAR`` bytes back agrees.
+        A window that has grown to all of ``text[:at]`` and ``right`` agrees.
         """
-        words = 2
+        words = WORDS
         while True:
             a, b = _blanks_back(text, at, words), _blanks_on(right, words)
-            if a is None:
-                return False
             window = text[a : at + b]
-            new = first.get(window) or self._library([window])[0]
+            new = first.get(window) or self._whole([window])[0]
             drop, skip = self._tokens_back(ids, at - a), self._tokens_on(own, b)
             if drop is not None and skip is not None:
                 # the outermost word on each side must have kept its ids
@@ -160,39 +173,40 @@ class ChunkEncoder:
                         del ids[len(ids) - drop :]
                     ids.extend(new)
                     ids.extend(own[skip:])
-                    return True
-            if a == 0 and b == len(right):
-                return False
+                    return
             self.widened += 1
             words *= 2
 
     def encode(self, texts: list[bytes]) -> list[array]:
         chunked, memo = chunk(texts, self.gear), self.memo
-        missing = [c for c in dict.fromkeys(c for chunks in chunked for c in chunks) if c not in memo]
-        known = dict(zip(missing, self._library(missing), strict=True))
+        uses = dict.fromkeys(c for chunks in chunked for c in chunks)
+        missing = [c for c in uses if c not in memo]
+        known = dict(zip(missing, self._whole(missing), strict=True))
         self.encoded += len(missing)
         self.reused += sum(map(len, chunked)) - len(missing)
-        if self.held > self.memo_bytes:
-            known |= {c: memo[c] for chunks in chunked for c in chunks if c in memo}
-            memo.clear()
-            self.held = 0
-        self.held += sum(len(c) + 4 * len(known[c]) + 200 for c in missing)
-        memo.update(known)
+        known |= {c: memo[c] for c in uses if c not in known}
         windows = dict.fromkeys(
-            a[_blanks_back(a, len(a), 2) or 0 :] + b[: _blanks_on(b, 2)] for chunks in chunked for a, b in zip(chunks, chunks[1:], strict=False)
+            a[_blanks_back(a, len(a), WORDS) :] + b[: _blanks_on(b, WORDS)] for chunks in chunked for a, b in zip(chunks, chunks[1:], strict=False)
         )
-        first = dict(zip(windows, self._library(list(windows)), strict=True))
+        first = dict(zip(windows, self._whole(list(windows)), strict=True))
         out = []
         for text, chunks in zip(texts, chunked, strict=True):
             ids, at = array("I"), 0
             for k, c in enumerate(chunks):
                 if k == 0:
-                    ids.extend(memo[c])
-                elif not self._join(text, at, ids, c, memo[c], first):
-                    ids = self._library([text])[0]  # nowhere to cut: the whole text
-                    break
+                    ids.extend(known[c])
+                else:
+                    self._join(text, at, ids, c, known[c], first)
                 at += len(c)
             out.append(ids)
+        # what came last is met again soonest: an old memo gives way as a whole
+        self.held += sum(len(c) + 4 * len(known[c]) + 200 for c in missing)
+        if self.held > self.memo_bytes:
+            memo.clear()
+            self.held = 0
+            known = {c: known[c] for c in chunked[-1]} if chunked else {}
+            self.held = sum(len(c) + 4 * len(x) + 200 for c, x in known.items())
+        memo.update(known)
         return out
 
     def decode(self, ids: array) -> str:
@@ -200,17 +214,6 @@ class ChunkEncoder:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _byte_characters() -> dict[int, str]:
-    """The printable character that stands for each byte in the vocabulary.
-
-    Visible Latin-1 characters stand for themselves; the other bytes, in order,
-    for the characters from U+0100 on.
-    """
-    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = [b for b in range(256) if b not in seen]
-    return {b: chr(b) for b in seen} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
-
-
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every whole text: ``doc_id, n_tokens, ids, decoded``.
 
@@ -224,6 +227,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     together = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), near.alias("near"))
         .repartitionByRange("near", "doc_id")  # the id splits large groups of copies
+        .sortWithinPartitions("near")
         .select("doc_id", "text")
     )
 
@@ -231,7 +235,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         import pyarrow as pa
 
         enc = held(f"chunks {tokenizer_path}", lambda: ChunkEncoder(tokenizer_path))
-        for part in sliced(batches):
+        for part in sliced(batches, 256, text=1):
             found = enc.encode([t.encode() for t in part.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [

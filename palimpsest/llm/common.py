@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,25 +19,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder executors and driver share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine tests) is one made up.
+    Where that setting is absent, one is made up for a local master only, where
+    driver and executors are one process.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    made = "/tmp/checkpoints/palimpsest"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-shared"
+
+
+_PATHS: list[str] = []
 
 
 def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    :func:`discard` and :func:`swept` remove what nothing reads any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _PATHS.append(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_path = path
+    return back
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _PATHS.remove(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table made by :func:`written` that no frame reads any more."""
+    _remove(table.sparkSession, table.written_path)
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Removes, at its end, the tables written within, but those whose frames were
+    appended to the list it gives."""
+    first, keep = len(_PATHS), []
+    try:
+        yield keep
+    finally:
+        kept = {t.written_path for t in keep}
+        for path in [p for p in _PATHS[first:] if p not in kept]:
+            _remove(spark, path)
 
 
 def residue(doc_id: Column, modulus: int) -> Column:
@@ -44,9 +77,10 @@ def residue(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def capped_share(counts: dict, cap: int) -> dict:
-    """Share of each class to keep so that about ``cap`` rows of it are left."""
-    return {k: min(1.0, cap / n) for k, n in counts.items() if n}
+def capped_share(counts: dict, cap: int, sizes: dict | None = None, size: int = 0) -> dict:
+    """Share of each class to keep so that about ``cap`` rows of it are left, and
+    about ``size`` bytes where ``sizes`` says how many it has."""
+    return {k: min(1.0, cap / n, size / sizes[k] if sizes and sizes[k] else 1.0) for k, n in counts.items() if n}
 
 
 def keep_share(shares: dict, key: Column, row_id: Column) -> Column:
@@ -65,11 +99,28 @@ def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
-def sliced(batches, rows: int = 256):
-    """Arrow batches cut into slices of at most ``rows`` rows."""
+def sliced(batches, rows: int = 256, text: int | None = None, size: int = 1 << 20):
+    """Arrow batches cut into slices of at most ``rows`` rows.
+
+    With ``text``, the place of a string column, a slice also ends once its strings
+    have ``size`` bytes; a longer string is a slice of its own.
+    """
+    import numpy as np
+
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        if text is None:
+            cuts = range(0, batch.num_rows, rows)
+        else:
+            import pyarrow.compute as pc
+
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts, at = [], 0
+            while at < batch.num_rows:
+                cuts.append(at)
+                before = ends[at - 1] if at else 0
+                at = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        for i, j in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+            yield batch.slice(i, j - i)
 
 
 _HELD: dict = {}

@@ -119,3 +119,55 @@ class PieceEncoder:
 def encoder(path: str, limit: int = MEMO) -> PieceEncoder:
     """This worker's encoder of a vocabulary; its memo outlives a task."""
     return held(f"pieces {path}", lambda: PieceEncoder(path, limit))
+
+
+#: How the byte-level vocabulary cuts a text into words (fixed value of its file format).
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary.
+
+    Visible Latin-1 characters stand for themselves; the other bytes, in order,
+    for the characters from U+0100 on.
+    """
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+class ByteRanks:
+    """A byte-level vocabulary file, encoded by merge ranks: the tokenizers library's
+    ids at a third of its time and without a memo.
+
+    Only files whose ids follow the order of their merges can be read so.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        vocab, cut = file["model"]["vocab"], file["pre_tokenizer"]
+        if file["normalizer"] or cut["type"] != "ByteLevel" or cut["add_prefix_space"] or not cut["use_regex"]:
+            raise ValueError("not a plain byte-level vocabulary")
+        special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        back = {c: b for b, c in byte_characters().items()}
+        ranks = {bytes(map(back.__getitem__, t)): k for t, k in vocab.items() if t not in special}
+        merged = [vocab[m.replace(" ", "") if isinstance(m, str) else "".join(m)] for m in file["model"]["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+            raise ValueError("ids do not follow the order of the merges")
+        self.special = list(special)
+        self.coder = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
+        self.bytes = [b""] * (1 + max([*ranks.values(), *special.values()]))
+        for b, k in (ranks | {t.encode(): k for t, k in special.items()}).items():
+            self.bytes[k] = b
+
+    def encode(self, text: bytes) -> array:
+        """The ids of one text in UTF-8; special tokens are found as the library finds them."""
+        t = text.decode()
+        if any(x in t for x in self.special):
+            return array("I", self.coder.encode(t, allowed_special="all", disallowed_special=()))
+        return array("I", self.coder.encode_ordinary(t))

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from palimpsest.llm import bpe_chunks, packing, token_store
-from palimpsest.llm.tokens import PieceEncoder, load, vocabulary
+from palimpsest.llm.tokens import ByteRanks, PieceEncoder, load, vocabulary
 
 BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 
@@ -60,6 +60,30 @@ def test_chunk_encoder_is_the_library(edge_rows):
     assert [enc.decode(x) for x in enc.encode([t.encode() for t in texts])] == [tok.decode(x, skip_special_tokens=False) for x in found]
 
 
+def test_rank_encoder_is_the_library(edge_rows):
+    texts = [r[1] or "" for r in edge_rows] + random_texts(60, 5) + ["a" * 50000, " " * 3000 + "x", "<|endoftext|>", "x <|endoftext|>  y<|endoftext|>"]
+    ranks = ByteRanks(BYTE)
+    assert [list(ranks.encode(t.encode())) for t in texts] == library(BYTE, texts)
+    with pytest.raises(ValueError):
+        ByteRanks(WORD)
+
+
+def test_long_runs_without_blanks():
+    rnd = random.Random(9)
+    run = "".join(rnd.choice("abcdefgh0!") for _ in range(40000))
+    texts = [run, "one two three four " + run + " five six seven eight " * 100 + run, "é" * 9000 + " x y z w " * 300, "日 本 " * 4000]
+    assert len(bpe_chunks.chunk([run.encode()])[0]) == 1
+    enc = bpe_chunks.ChunkEncoder(BYTE)
+    assert [list(x) for x in enc.encode([t.encode() for t in texts])] == library(BYTE, texts)
+
+
+def test_marks_do_not_depend_on_the_block(monkeypatch):
+    body = " ".join(random_texts(40, 6)).encode()
+    whole = bpe_chunks.chunk([body])
+    monkeypatch.setattr(bpe_chunks, "BLOCK", 100)
+    assert bpe_chunks.chunk([body]) == whole
+
+
 def test_op1(spark, documents, edges, nothing):
     for frame in (documents, edges):
         rows = frame.select("doc_id", "text").collect()
