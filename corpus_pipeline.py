@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exact_dedup, language, packing, simhash, toxicity
-from palimpsest.llm.common import residue, table, written
+from palimpsest.llm.common import discard, residue, swept, table, written
 from palimpsest.llm.tokens import vocabulary
 
 
@@ -56,8 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole ``documents`` table; only the last one's result stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with swept(spark) as keep:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

@@ -46,8 +46,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` with the fingerprint's 64 bits as a signed long."""
+    """``doc_id, digest, fp``: a hash of the text, and the fingerprint's 64 bits as a
+    signed long.  One row per input row: null ids and repeated rows stay, null text
+    counts as empty, other columns are ignored."""
     bounded_batches(docs.sparkSession)
+    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
     def run(batches):
         import numpy as np
@@ -55,10 +58,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
         held()
         for part in sliced(batches, 1024):
-            found = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, shingle) for t in part.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found)], names=["doc_id", "digest", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -86,16 +90,35 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
     unless its component has no other; repeated rows keep one result row each; an
     empty table gives an empty result; other columns are ignored.
     """
+    return _grouped(docs, shingle, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, digest, fp, component_id`` of every row."""
     fps = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     label = components(links(first.select("fp")))
     merged = first.join(label, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = merged.groupBy("component").agg(F.min("first").alias("component_id"))
     named = merged.join(least, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(named, "fp").select("doc_id", "digest", "fp", "component_id")
+
 
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1 << 20) -> DataFrame:
+    """``docs`` with the document of the smallest id of each group; all columns stay.
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest id of each group; all columns stay."""
-    gone = near_groups(docs, shingle, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    The decision is made row by row: a row goes if its group has a smaller id, even
+    where another row with its id stays.  Rows that repeat both id and text are one
+    document and share its fate.  Of a group with ids, rows without id go; a group
+    of rows without ids stays whole.  Texts do not move: the rows that go, known by
+    id and text hash, are broadcast while there are at most ``broadcast_rows`` of
+    them (24 bytes each), and are joined by sorting beyond that.
+    """
+    lost = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = written(
+        _grouped(docs, shingle, id_col, text_col).filter(lost).select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")).distinct(), "near-copies"
+    )
+    found = gone.count()
+    gone = F.broadcast(gone) if found <= broadcast_rows else gone.hint("merge")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__digest"))
+    return docs.join(gone, same, "left_anti")

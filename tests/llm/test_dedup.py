@@ -26,7 +26,7 @@ def exact_brute(rows):
 def test_exact(spark, documents, edges, nothing):
     for frame in (documents, edges):
         rows = [tuple(r) for r in frame.select("doc_id", "text").collect()]
-        for slots in (64, 1 << 12, exact_dedup.SLOTS):  # a crowded filter gives the same answer
+        for slots in (64, 1 << 12, None):  # a crowded filter gives the same answer
             assert Counter(tuple(r) for r in exact_dedup.exact_groups(frame, slots=slots).collect()) == exact_brute(rows)
         kept = exact_dedup.drop_exact_copies(frame)
         assert kept.columns == frame.columns
@@ -41,8 +41,10 @@ def test_exact(spark, documents, edges, nothing):
 def test_exact_shuffles_suspects_only(spark, documents):
     plan = exact_dedup.exact_groups(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
-    words = exact_dedup.repeated_slots(documents.select(F.coalesce("text", F.lit("")).alias("text")))
-    assert words.count() <= 2 * exact_dedup.SLOTS / 64
+    slots = exact_dedup.slots_for(documents.count())
+    words = exact_dedup.repeated_slots(documents.select(F.coalesce("text", F.lit("")).alias("text")), slots)
+    assert words.count() <= 2 * slots / 64
+    assert exact_dedup.slots_for(0) == 1 << 16 and exact_dedup.slots_for(10**6) == 1 << 23 and exact_dedup.slots_for(10**12) == exact_dedup.MOST
 
 
 def print_brute(text, n=3):
@@ -97,6 +99,27 @@ def test_near_edges(spark, edges):
     assert {r["doc_id"] for r in kept.collect()} - {None} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_near_copies_are_judged_row_by_row(spark):
+    a, b = "one two three four five six", "something else that nobody has copied at all"
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, "words of a row without id"), (9, "twice the same row"), (9, "twice the same row"), (2**62, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x")).withColumn("fp", F.lit(0)).withColumn("component_id", F.lit(1))
+    want = sorted([(1, a), (5, b), (None, "words of a row without id"), (9, "twice the same row"), (9, "twice the same row")], key=str)
+    for most in (1 << 20, 0):  # broadcast, and joined by sorting
+        kept = simhash.drop_near_copies(docs, broadcast_rows=most)
+        assert kept.columns == docs.columns
+        assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str) == want
+
+
+def test_a_heavy_group_does_not_shuffle(spark):
+    rows = [(k, "copied everywhere" if k % 3 else f"text {k // 6}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(docs).collect()}
+    groups = {}
+    for k, t in rows:
+        groups.setdefault(t, []).append(k)
+    assert got == {k: (max(groups[t]), len(groups[t]), k == max(groups[t])) for k, t in rows}
+
+
 def test_links_find_every_close_pair(spark):
     rnd = random.Random(8)
     base = [rnd.getrandbits(64) for _ in range(12)]
