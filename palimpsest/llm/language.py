@@ -92,7 +92,7 @@ def _document_frequency(texts: DataFrame, bits: int):
         seen = np.zeros(1 << bits, dtype=np.int64)
         rows = 0
         held()
-        for part in sliced(batches):
+        for part in sliced(batches, 256, text=0):
             codes, offsets = grams(part.column(0).to_pylist(), bits)
             rows += len(offsets) - 1
             mark = np.zeros(1 << bits, dtype=bool)
@@ -117,14 +117,15 @@ def _document_frequency(texts: DataFrame, bits: int):
 
 
 def _sample_features(rows: DataFrame, bits: int):
-    """Hashed n-gram counts of sampled rows: list of (label, buckets, frequencies)."""
+    """Hashed n-gram counts of sampled rows: list of (label, buckets, frequencies),
+    in an order that does not depend on how the rows are dealt."""
+    import numpy as np
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         held()
-        for part in sliced(batches):
+        for part in sliced(batches, 256, text=1):
             codes, offsets = grams(part.column(1).to_pylist(), bits)
             buckets, shares = [], []
             for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -132,14 +133,15 @@ def _sample_features(rows: DataFrame, bits: int):
                 buckets.append(found.astype(np.int32))
                 shares.append((n / n.sum()).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["label", "buckets", "shares"]
+                [part.column(0), part.column(2), pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))],
+                names=["label", "place", "buckets", "shares"],
             )
 
-    found = rows.mapInArrow(run, "label string, buckets array<int>, shares array<float>").toArrow()
-    return [
-        (a.as_py(), b.values.to_numpy(), c.values.to_numpy())
-        for a, b, c in zip(found.column("label"), found.column("buckets"), found.column("shares"), strict=True)
-    ]
+    place = F.xxhash64("doc_id", "text").alias("place")
+    found = rows.select("lang", "text", place).mapInArrow(run, "label string, place long, buckets array<int>, shares array<float>").toArrow()
+    order = np.lexsort([found.column("label").to_numpy(), found.column("place").to_numpy()]).tolist()
+    columns = [found.column(name) for name in ("label", "buckets", "shares")]
+    return [(a[k].as_py(), b[k].values.to_numpy(), c[k].values.to_numpy()) for a, b, c in [columns] for k in order]
 
 
 def fit_ftrl(rows, classes: int, size: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 3):
@@ -198,25 +200,33 @@ def fit_temperature(logits, labels) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, usable: Column, per_language: int = 800, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def train(
+    docs: DataFrame, usable: Column, per_language: int = 800, language_bytes: int = 4 << 20, bits: int = BITS,
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+) -> LanguageModel:
     """Fit on the ``usable`` rows with a text and a language.
 
-    ``per_language`` bounds the rows of each language used for the weights and the
-    temperature; document frequencies come from all usable rows.
+    ``per_language`` and ``language_bytes`` bound the rows and the text of each
+    language used for the weights and the temperature, thinned by a hash of the id;
+    document frequencies come from all usable rows.  Rows whose text or language is
+    null take no part, repeated rows count once each, other columns are ignored.
+    Without usable rows the model has no languages.  The same rows give the same
+    model, however they are dealt over tasks.
     """
     import numpy as np
 
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    met = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    counts, sizes = {r["lang"]: r["n"] for r in met}, {r["lang"]: r["bytes"] for r in met}
     if not counts:
         return LanguageModel([], None, None, 1.0, bits)
     bounded_batches(docs.sparkSession)
     languages = sorted(counts)
     df, total = _document_frequency(rows.select("text"), bits)
     idf = np.log((1.0 + total) / (1.0 + df)) + 0.1
-    chosen = rows.filter(keep_share(capped_share(counts, per_language), F.col("lang"), F.col("doc_id"))).select("lang", "text")
+    chosen = rows.filter(keep_share(capped_share(counts, per_language, sizes, language_bytes), F.col("lang"), F.col("doc_id")))
     number = {name: k for k, name in enumerate(languages)}
     sample = [(number[label], at, (x * (idf[at] * 30.0)).astype(np.float32)) for label, at, x in _sample_features(chosen, bits)]
     held = [s for k, s in enumerate(sample) if k % 5 == 0] if len(sample) >= 20 else sample
@@ -240,7 +250,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         import pyarrow as pa
 
         held()
-        for part in sliced(batches):
+        for part in sliced(batches, 256, text=1):
             names, scores = model.predict(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -250,7 +260,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without rows that are ``und`` or whose score is below ``least``.
 
-    All columns stay as they are; the decision is made where the row lies.
+    All columns stay as they are, null ids and repeated rows too; the decision is
+    made where the row lies, from its whole text alone.
     """
     bounded_batches(docs.sparkSession)
     text_at = docs.columns.index(text_col)
@@ -259,7 +270,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, i
         import pyarrow as pa
 
         held()
-        for part in sliced(batches):
+        for part in sliced(batches, 256, text=text_at):
             names, scores = model.predict(part.column(text_at).to_pylist())
             yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]))
 

@@ -1,54 +1,119 @@
 """Quality classification by co-training of two views.
 
-One logistic classifier sees the text's content, another only metadata (source,
-language, length, line structure).  In every round each classifier labels the
-pool rows it is surest of and hands them to the other one as training rows.  Both
-are then calibrated on labelled rows kept out of training, their calibrated
-log-odds are combined, and all documents are scored with one column expression.
+One naive Bayes classifier sees a page's content: hashed words, word endings, word
+shapes and repetitions of the whole text.  The other sees only its metadata: source,
+language and stated size.  Both start from a bounded labelled sample.  In every round
+each classifier, calibrated on sample rows kept out of its sums, labels all documents
+of the pool it is sure of, and the other one learns from these; sums of feature counts
+are all that leaves a task, so the pool is the whole table at any size.  At last the
+calibrated log-odds of both views are combined, and all documents are scored.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import capped_share, keep_share
-
-HASHED = 16
-
-
-def _text(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(""))
-
-
-def content_view(text_col: str = "text") -> list[Column]:
-    """Features of the text itself, each between about 0 and 1."""
-    t = _text(text_col)
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    share = lambda pattern: F.regexp_count(t, F.lit(pattern)) / n
-    words = F.split(F.lower(t), r"\s+")
-    return [
-        share(r"[A-Z]"), share(r"[0-9]"), share(r"[#$%&*|!<>{}=@~^_+]"), share(r"[.,;:]"), share(r"\s"),
-        F.size(F.array_distinct(words)) / F.size(words),
-        F.least(n / F.size(words) / 20, F.lit(1.0)),
-        F.least(F.regexp_count(t, F.lit(r"[.!?](?:\s|$)")) * 20 / F.size(words), F.lit(2.0)),
-    ]
-
+from palimpsest.llm.common import bounded_batches, capped_share, discard, held, keep_share, sliced, written
+
+#: Buckets of each kind of content feature: words, endings, shapes, repetition.
+CONTENT = (1 << 15, 1 << 12, 1 << 11, 2)
+#: Buckets of each kind of metadata feature: source, language, both, size.
+METADATA = (1 << 16, 1 << 10, 1 << 16, 64)
+#: Calibrated probability from which a view is sure of a page.
+SURE = 0.95
+#: What one page counts in the sums of a kind of feature, shared by its words.
+PAGE = 1 << 24
+SHAPES = ((re.compile(r"[^\W\d_]"), "a"), (re.compile(r"\d"), "9"), (re.compile(r"(.)\1\1+", re.DOTALL), r"\1\1"))
+MEMO = 150_000
+
+
+def shape(word: str) -> str:
+    """Letters as ``a`` (``A`` in words of capitals), digits as ``9``, at most two alike in a row."""
+    out = word
+    for pattern, to in SHAPES:
+        out = pattern.sub(to, out)
+    return out.upper() if word.isupper() else out
+
+
+def word_features(word: str) -> tuple[int, int, int]:
+    """Buckets of a word, of its last three characters and of its shape."""
+    code = lambda s, salt: zlib.crc32(s.encode("utf-8", "surrogatepass"), salt)
+    return code(word.lower(), 0) % CONTENT[0], code(word[-3:], 1) % CONTENT[1], code(shape(word), 2) % CONTENT[2]
+
+
+def page_features(source: str | None, lang: str | None, size: int | None) -> tuple[int, int, int, int]:
+    """Buckets of a page's source, language, both, and the binary size of its length."""
+    code = lambda s, salt: zlib.crc32(s.encode("utf-8", "surrogatepass"), salt)
+    a, b = "" if source is None else "s" + source, "" if lang is None else "l" + lang
+    known = 0 if size is None or size < 0 else 1 + min(62, int(size).bit_length())
+    return code(a, 3) % METADATA[0], code(b, 4) % METADATA[1], code(f"{a}\0{b}", 5) % METADATA[2], known
+
+
+class Pages:
+    """Features of slices of pages; remembers words (bounded, changes no result)."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.memo: dict[str, int] = {}
+        self.rows = np.zeros((1 << 12, 3), dtype=np.int64)
+
+    def content(self, texts: list[str | None]):
+        """Per word of all texts in a row its four buckets, and where each text begins."""
+        import numpy as np
+
+        words = [(t or "").split() for t in texts]
+        new = dict.fromkeys(w for ws in words for w in ws if w not in self.memo)
+        if len(self.memo) + len(new) > MEMO:
+            self.memo, new = {}, dict.fromkeys(w for ws in words for w in ws)
+        first = len(self.memo)
+        while first + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        if new:
+            self.rows[first : first + len(new)] = list(map(word_features, new))
+            self.memo.update((w, first + k) for k, w in enumerate(new))
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        starts = np.cumsum(sizes) - sizes
+        get = self.memo.__getitem__
+        ids = np.fromiter((k for ws in words for k in map(get, ws)), dtype=np.int64, count=int(sizes.sum()))
+        again = np.zeros(len(ids), dtype=np.int64)
+        again[1:] = ids[1:] == ids[:-1]
+        again[starts[sizes > 0]] = 0
+        return np.concatenate([self.rows[ids], again[:, None]], axis=1), starts, sizes
+
+    @staticmethod
+    def metadata(sources, langs, lengths):
+        import numpy as np
+
+        return np.array(list(map(page_features, sources, langs, lengths)), dtype=np.int64).reshape(-1, len(METADATA))
+
+
+def _spans(kinds: tuple[int, ...]) -> list[slice]:
+    out, at = [], 0
+    for n in kinds:
+        out.append(slice(at, at + n))
+        at += n
+    return out
+
+
+def log_odds(good, bad, kinds: tuple[int, ...]):
+    """Naive Bayes weights from feature sums of good and bad pages, kind by kind.
+
+    Sums count pages (a page's words share one count), so the smoothing is a part
+    of one page for every bucket.
+    """
+    import numpy as np
 
-def metadata_view(text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> list[Column]:
-    """Features that describe where a page comes from and its layout."""
-    t = _text(text_col)
-    lines = (F.regexp_count(t, F.lit("\n")) + 1).cast("double")
-    size = F.log1p(F.length(t).cast("double")) / 12
-    slot = F.pmod(F.xxhash64(F.coalesce(F.col(source_col), F.lit(""))), F.lit(HASHED))
-    tongue = F.pmod(F.xxhash64(F.coalesce(F.col(lang_col), F.lit(""))), F.lit(4))
-    return (
-        [size, size * size, F.log1p(lines) / 8, F.log1p(F.length(t) / lines) / 10]
-        + [(slot == k).cast("double") for k in range(HASHED)]
-        + [(tongue == k).cast("double") for k in range(4)]
-    )
+    out = np.zeros(len(good))
+    for span, n in zip(_spans(kinds), kinds, strict=True):
+        a, b = good[span] + 0.5 / n, bad[span] + 0.5 / n
+        out[span] = np.log(a / a.sum()) - np.log(b / b.sum())
+    return out
 
 
 def fit_logistic(x, y, weight, l2: float = 1e-3, steps: int = 30):
@@ -70,115 +135,213 @@ def fit_logistic(x, y, weight, l2: float = 1e-3, steps: int = 30):
     return w
 
 
-def logit(x, w):
-    return x @ w[:-1] + w[-1]
-
-
 @dataclass
 class QualityModel:
-    """Standardised weights of both views and of their combination."""
+    """Weights of both views, their calibration (slope, bias), and the combination."""
 
-    content: list[float]
-    content_bias: float
-    metadata: list[float]
-    metadata_bias: float
-    mix: tuple[float, float, float]
+    content: object
+    metadata: object
+    scales: tuple = ((1.0, 0.0), (1.0, 0.0))
+    mix: tuple = (0.5, 0.5, 0.0)
     rounds: int = 0
+    taught: tuple = ()  # pages each view labelled for the other, by round
+
+    def raw(self, pages: Pages, texts, sources, langs, sizes):
+        """Uncalibrated log-odds of each page under both views, and its features."""
+        import numpy as np
+
+        own, starts, counts = pages.content(texts)
+        offsets = np.array([s.start for s in _spans(CONTENT)])
+        per_word = self.content[own + offsets].sum(axis=1)
+        total = np.concatenate([[0.0], np.cumsum(per_word)])
+        mean = (total[starts + counts] - total[starts]) / np.maximum(counts, 1)
+        meta = pages.metadata(sources, langs, sizes)
+        about = self.metadata[meta + np.array([s.start for s in _spans(METADATA)])].sum(axis=1)
+        return mean, about, (own, starts, counts), meta
+
+    def calibrated(self, content, metadata):
+        (a, b), (c, d) = self.scales
+        return a * content + b, c * metadata + d
+
+    def scores(self, pages: Pages, texts, sources, langs, sizes):
+        """Score of each whole page in [0, 1]; 1 is good."""
+        import numpy as np
+
+        x, y = self.calibrated(*self.raw(pages, texts, sources, langs, sizes)[:2])
+        a, b, c = self.mix
+        return 1 / (1 + np.exp(-np.clip(a * x + b * y + c, -30, 30)))
 
-    def score(self, text_col: str, source_col: str, lang_col: str) -> Column:
-        def dot(view, weights, bias):
-            return sum((f * F.lit(float(w)) for f, w in zip(view, weights, strict=True)), F.lit(float(bias)))
 
-        a, b, c = self.mix
-        z = a * dot(content_view(text_col), self.content, self.content_bias) + b * dot(metadata_view(text_col, source_col, lang_col), self.metadata, self.metadata_bias) + c
-        return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+def _columns(part, at: int = 0):
+    return [part.column(k).to_pylist() for k in range(at, at + 4)]
 
 
-def co_train(views, y, known, pool_views, rounds: int = 5, per_round: int = 40):
-    """Co-training on two feature matrices; returns the weights of each view.
+def _sums(rows: DataFrame, model: QualityModel | None = None, sure: float = SURE):
+    """Feature sums over ``rows`` (text, source, lang, size): [view][class, bucket].
 
-    ``known`` weighs the labelled rows.  Per round each view adds its ``per_round``
-    surest pool rows, split by the labelled class balance, to the other's rows.
+    Without a model every row counts under its column ``label``, in both views.  With
+    one, the rows one view is sure of count, under its label, in the other view.
+    Counts are whole numbers, so the sums do not depend on how the rows are dealt;
+    at most one row a bucket reaches the driver.
     """
     import numpy as np
 
-    own = [(v, y.astype(float), known) for v in views]
-    free = np.ones(len(pool_views[0]), dtype=bool)
-    positive = float((known * y).sum() / known.sum())
-    weights = [fit_logistic(*o) for o in own]
-    for _ in range(rounds):
+    widths = (sum(CONTENT), sum(METADATA))
+    line = float(np.log(sure / (1 - sure)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        held()
+        pages = Pages()
+        sums = [np.zeros((2, w)) for w in widths]
+        taught = np.zeros((2, 2), dtype=np.int64)
+        blank = QualityModel(np.zeros(widths[0]), np.zeros(widths[1]))
+        for part in sliced(batches, 256, text=0):
+            x, y, (own, _, counts), meta = (model or blank).raw(pages, *_columns(part))
+            if model is None:
+                marks = np.array(part.column(4).to_pylist())
+                picks = [(marks == c, marks == c) for c in (0, 1)]
+            else:
+                x, y = model.calibrated(x, y)
+                picks = [(y <= -line, x <= -line), (y >= line, x >= line)]  # one view's picks count in the other
+            for c, (for_content, for_metadata) in enumerate(picks):
+                taught[:, c] += for_content.sum(), for_metadata.sum()
+                share = np.repeat(np.where(for_content, np.rint(PAGE / np.maximum(counts, 1)), 0.0), counts)
+                for k, span in enumerate(_spans(CONTENT)):
+                    sums[0][c, span] += np.bincount(own[:, k], weights=share, minlength=CONTENT[k])
+                for k, span in enumerate(_spans(METADATA)):
+                    sums[1][c, span] += PAGE * np.bincount(meta[for_metadata, k], minlength=METADATA[k])
         for view in (0, 1):
-            at = np.flatnonzero(free)
-            ups, downs = max(1, round(per_round * positive)), max(1, round(per_round * (1 - positive)))
-            if len(at) < ups + downs:
-                break
-            order = at[np.argsort(logit(pool_views[view][at], weights[view]), kind="stable")]
-            taken = np.concatenate([order[:downs], order[-ups:]])
-            guess = np.concatenate([np.zeros(downs), np.ones(ups)])
-            free[taken] = False
-            x, t, k = own[1 - view]
-            own[1 - view] = (np.vstack([x, pool_views[1 - view][taken]]), np.append(t, guess), np.append(k, np.full(len(taken), 0.5)))
-        weights = [fit_logistic(*o) for o in own]
-    return weights
+            for c in (0, 1):
+                hit = np.flatnonzero(sums[view][c])
+                where = [pa.array(np.full(len(hit) + 1, v, np.int32)) for v in (view, c)]
+                found = [pa.array(np.append(hit, -1).astype(np.int32)), pa.array(np.append(sums[view][c][hit], taught[view, c]).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(where + found, names=["view", "class", "bucket", "n"])
+
+    found = rows.mapInArrow(run, "view int, class int, bucket int, n long").groupBy("view", "class", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums, taught = [np.zeros((2, w)) for w in widths], np.zeros((2, 2))
+    for view, c, bucket, n in zip(*(found.column(k).to_pylist() for k in range(4)), strict=True):
+        if bucket < 0:
+            taught[view, c] = n
+        else:
+            sums[view][c, bucket] = n / PAGE
+    return sums, taught
+
+
+def _raw_scores(rows: DataFrame, model: QualityModel):
+    """Label, weight and both views' log-odds of the sample's rows, in a fixed order."""
+    import numpy as np
 
+    def run(batches):
+        import pyarrow as pa
 
-def train(
-    docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 2000, pool_rows: int = 4000, rounds: int = 5,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-) -> QualityModel | None:
-    """Fit on labelled ``usable`` rows (at most about ``per_class`` per class) and an
-    unlabelled pool of about ``pool_rows`` rows.  None if a class has no rows."""
+        pages = Pages()
+        for part in sliced(batches, 256, text=0):
+            x, y, _, _ = model.raw(pages, *_columns(part))
+            yield pa.RecordBatch.from_arrays([part.column(4), part.column(5), part.column(6), pa.array(x), pa.array(y)], names=["label", "weight", "place", "x", "y"])
+
+    found = rows.mapInArrow(run, "label int, weight double, place long, x double, y double").toArrow()
+    order = np.lexsort([found.column(k).to_numpy() for k in (4, 3, 2)])
+    label, weight, _, x, y = (c.to_numpy()[order] for c in found.columns)
+    return label.astype(float), weight, x, y
+
+
+def _calibrate(rows: DataFrame, model: QualityModel) -> None:
+    """Fit both views' scales and their combination on sample rows outside the sums."""
     import numpy as np
 
-    a, b = content_view(text_col), metadata_view(text_col, source_col, lang_col)
-    marks = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = docs.filter(usable).select(F.col(id_col).alias("doc_id"))
-    counts = {r["quality"]: r["count"] for r in ids.join(marks, "doc_id").groupBy("quality").count().collect()}
-    if len(counts) < 2:
+    label, weight, x, y = _raw_scores(rows, model)
+    model.scales = tuple(tuple(map(float, fit_logistic(v[:, None], label, weight))) for v in (x, y))
+    model.mix = tuple(map(float, fit_logistic(np.stack(model.calibrated(x, y), axis=1), label, weight)))
+
+
+def _pages(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, size_col: str) -> DataFrame:
+    named = {"doc_id": id_col, "text": text_col, "source": source_col, "lang": lang_col}
+    return docs.select(*(F.col(c).alias(k) for k, c in named.items()), F.col(size_col).cast("long").alias("size"))
+
+
+VIEWS = ["text", "source", "lang", "size"]
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 2000, class_bytes: int = 16 << 20, rounds: int = 2,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars",
+) -> QualityModel | None:
+    """Co-train on a labelled sample and all ``usable`` rows; None if a class has no rows.
+
+    The sample holds at most about ``per_class`` rows and ``class_bytes`` bytes of
+    text a class, thinned by a hash of the id; three quarters of it give the first
+    sums, the rest the calibration.  Labels other than 0 and 1 and labels without a
+    document are ignored; of contradicting labels the lower one counts.  A document
+    that repeats an id takes part once per row.  Null text, source, language or size
+    are values like any other; other columns are ignored.
+    """
+    bounded_batches(docs.sparkSession)
+    marks = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"))
+    pages = _pages(docs.filter(usable), id_col, text_col, source_col, lang_col, size_col)
+    ids = pages.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    met = ids.join(marks, "doc_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect()
+    if len(met) < 2:
         return None
-    total = docs.count()
-    share = capped_share(counts, per_class)
-    features = docs.filter(usable).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"))
-    # thinning comes before texts are touched: about 2 * per_class labels to broadcast
-    chosen = marks.filter(keep_share(share, F.col("quality"), F.col("doc_id"))).join(ids, "doc_id", "left_semi")
-    labelled = features.join(F.broadcast(chosen), "doc_id")
-    thinned = features.filter(keep_share({"x": min(1.0, pool_rows / max(total, 1))}, F.lit("x"), F.col("doc_id")))
-    pool = thinned.join(marks, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int"))
-    rows = labelled.unionByName(pool).select("doc_id", "quality", F.array(*content_view()).alias("a"), F.array(*metadata_view()).alias("b"))
-    found = rows.orderBy("doc_id", F.xxhash64("a", "b")).toArrow().to_pydict()
-    q = np.array([-1 if v is None else v for v in found["quality"]])
-    views = [np.array(found["a"], dtype=float).reshape(-1, len(a)), np.array(found["b"], dtype=float).reshape(-1, len(b))]
-    if not (q == 1).any() or not (q == 0).any():
+    share = capped_share({r["label"]: r["n"] for r in met}, per_class, {r["label"]: r["bytes"] for r in met}, class_bytes)
+    # thinned before texts are touched: about 2 * per_class labels to broadcast
+    chosen = marks.filter(keep_share(share, F.col("label"), F.col("doc_id"))).join(ids.select("doc_id"), "doc_id", "left_semi")
+    weigh = F.when(F.col("label") == 1, F.lit(1 / share[1])).otherwise(F.lit(1 / share[0]))
+    place = F.xxhash64("doc_id", F.lit("place"))
+    sample = written(pages.join(F.broadcast(chosen), "doc_id").select(*VIEWS, "label", weigh.alias("weight"), place.alias("place")), "quality-sample")
+    aside = F.pmod("place", F.lit(4)) == 0
+    have = {(r["label"], r["aside"]) for r in sample.groupBy("label", aside.alias("aside")).count().collect()}
+    if len({label for label, _ in have}) < 2:
         return None
-    centre, spread = [v.mean(axis=0) for v in views], [v.std(axis=0) + 1e-6 for v in views]
-    views = [(v - m) / s for v, m, s in zip(views, centre, spread, strict=True)]
-    weight = np.array([1.0 / share.get(int(v), 1.0) for v in q])
-    weight /= weight[q >= 0].mean()
-    at = np.flatnonzero(q >= 0)
-    held, fit = at[::4], np.setdiff1d(at, at[::4])
-    if len({*q[fit]}) < 2 or len({*q[held]}) < 2:
-        held = fit = at
-    free = np.flatnonzero(q < 0)
-    per_view = co_train([v[fit] for v in views], q[fit], weight[fit], [v[free] for v in views], rounds)
-    # each view is calibrated first, then the calibrated log-odds are combined
-    calibrated, plain = [], []
-    for v, w, m, s in zip(views, per_view, centre, spread, strict=True):
-        scale = fit_logistic(logit(v[held], w)[:, None], q[held].astype(float), weight[held])
-        calibrated.append(scale[0] * logit(v[held], w) + scale[1])
-        raw = scale[0] * w[:-1] / s
-        plain.append((raw.tolist(), float(scale[0] * w[-1] + scale[1] - (raw * m).sum())))
-    mix = fit_logistic(np.stack(calibrated, axis=1), q[held].astype(float), weight[held])
-    return QualityModel(*plain[0], *plain[1], tuple(float(x) for x in mix), rounds)
+    if len(have) == 4:
+        fit, kept_out = sample.filter(~aside), sample.filter(aside)
+    else:  # too few rows to keep some aside
+        fit = kept_out = sample
+    first, _ = _sums(fit.select(*VIEWS, "label"))
+    kinds, taught = (CONTENT, METADATA), []
+    model = QualityModel(*(log_odds(s[1], s[0], k) for s, k in zip(first, kinds, strict=True)))
+    _calibrate(kept_out, model)
+    for _ in range(rounds):
+        more, pages_taught = _sums(pages.select(*VIEWS), model)
+        views = []
+        for view, kind in enumerate(kinds):
+            own = []
+            for c in (0, 1):
+                a, b, n = first[view][c], more[view][c], pages_taught[view, c]
+                # a class taught to a view weighs as much as its labelled pages, whatever the table's size
+                labelled = a[_spans(kind)[0]].sum()
+                own.append(a + b * (labelled / n) if n >= 1 else a)
+            views.append(log_odds(own[1], own[0], kind))
+        taught.append(tuple(int(x) for x in pages_taught.sum(axis=1)))
+        model = QualityModel(*views)
+        _calibrate(kept_out, model)
+    model.rounds, model.taught = rounds, tuple(taught)
+    discard(sample)
+    return model
 
 
 def score_quality(
-    docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+    docs: DataFrame, model: QualityModel | None,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars",
 ) -> DataFrame:
     """``doc_id, score`` (1: good) for every row, from its whole text and metadata.
 
-    Null text, source or language count as empty; without a model every score is
-    0.5.  Null ids and repeated rows keep one result row each.
+    A null text counts as empty; null source, language and size are values of their
+    own; without a model every score is 0.5.  Null ids and repeated rows keep one
+    result row each, very long texts are read whole, an empty table gives an empty
+    result, other columns are ignored.
     """
-    score = model.score("text", "source", "lang") if model else F.lit(0.5)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"))
-    return rows.select("doc_id", score.alias("score"))
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        held()
+        pages = Pages()
+        for part in sliced(batches, 256, text=1):
+            found = model.scores(pages, *_columns(part, 1)) if model else [0.5] * part.num_rows
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
+
+    pages = _pages(docs, id_col, text_col, source_col, lang_col, size_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return pages.mapInArrow(run, "doc_id long, score double")

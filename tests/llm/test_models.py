@@ -85,25 +85,162 @@ def test_toxicity_scores_do_not_depend_on_the_batch():
 
 def test_quality(spark, larger, edges, nothing):
     docs, marks = larger
-    model = quality.train(docs, marks, residue(F.col("doc_id"), 5) != 0, per_class=400, pool_rows=1500)
-    held = quality.score_quality(docs, model).join(marks, "doc_id").filter(residue(F.col("doc_id"), 5) == 0)
-    right = (F.col("score") >= 0.5).cast("int") == F.col("quality")
-    assert held.agg(F.avg(right.cast("int"))).first()[0] > 0.95
+    right = {}
+    for rounds in (0, 2):  # alone, and after the views have taught each other over the whole pool
+        model = quality.train(docs, marks, residue(F.col("doc_id"), 5) != 0, per_class=400, rounds=rounds)
+        held = quality.score_quality(docs, model).join(marks, "doc_id").filter(residue(F.col("doc_id"), 5) == 0)
+        hit = (F.col("score") >= 0.5).cast("int") == F.col("quality")
+        right[rounds] = held.agg(F.avg(hit.cast("int"))).first()[0]
+    assert right[0] > 0.96 and right[2] > 0.96 and right[2] > right[0] - 0.01
+    assert len(model.taught) == 2 and model.taught[0][1] > 1000  # content teaches metadata from thousands of pages
     got = quality.score_quality(edges, model).collect()
     assert len(got) == edges.count() and all(0 <= r["score"] <= 1 for r in got)
     assert quality.score_quality(nothing, model).count() == 0
     assert quality.train(docs, marks.filter("quality = 1"), F.lit(True)) is None
+    assert quality.train(nothing, marks, F.lit(True)) is None
+    assert {r["score"] for r in quality.score_quality(edges, None).collect()} == {0.5}
 
 
-def test_co_training_uses_the_pool():
+def quality_brute(model, text, source, lang, size):
+    words, spans = (text or "").split(), quality._spans(quality.CONTENT)
+    x = 0.0
+    for k, w in enumerate(words):
+        found = [*quality.word_features(w), int(k > 0 and words[k - 1] == w)]
+        x += sum(model.content[s.start + f] for s, f in zip(spans, found))
+    x /= max(1, len(words))
+    y = sum(model.metadata[s.start + f] for s, f in zip(quality._spans(quality.METADATA), quality.page_features(source, lang, size)))
+    (a, b), (c, d) = model.scales
+    return 1 / (1 + np.exp(-np.clip(model.mix[0] * (a * x + b) + model.mix[1] * (c * y + d) + model.mix[2], -30, 30)))
+
+
+def test_quality_query_by_brute_force(spark, sf_dir, documents, labels):
+    from palimpsest.llm.queries import queries
+
+    model = quality.train(documents, labels, residue(F.col("doc_id"), 5) != 0)
+    rows = {r["doc_id"]: r for r in documents.collect()}
+    got = queries()["op4_quality"](spark, sf_dir).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        d = rows[r["doc_id"]]
+        want = quality_brute(model, d["text"], d["source"], d["lang"], d["n_chars"])
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_quality_sums_by_brute_force(spark, edges, edge_rows):
+    rows = edges.select("text", "source", "lang", F.col("n_chars").alias("size"), (F.coalesce("doc_id", F.lit(0)) % 2).cast("int").alias("label"))
+    sums, taught = quality._sums(rows.repartition(3))
+    content, metadata, n = np.zeros((2, sum(quality.CONTENT))), np.zeros((2, sum(quality.METADATA))), [0, 0]
+    for r in rows.collect():
+        c, words = r["label"], (r["text"] or "").split()
+        n[c] += 1
+        for k, w in enumerate(words):
+            found = [*quality.word_features(w), int(k > 0 and words[k - 1] == w)]
+            for s, f in zip(quality._spans(quality.CONTENT), found):
+                content[c, s.start + f] += 1 / len(words)
+        for s, f in zip(quality._spans(quality.METADATA), quality.page_features(r["source"], r["lang"], r["size"])):
+            metadata[c, s.start + f] += 1
+    assert np.allclose(sums[0], content, atol=0.02) and (sums[1] == metadata).all() and (taught == n).all()
+    again, _ = quality._sums(rows.repartition(7, "text"))
+    assert all((a == b).all() for a, b in zip(sums, again))
+
+
+def test_quality_views_teach_each_other(spark):
     rnd = np.random.default_rng(3)
-    truth = rnd.integers(0, 2, 600)
-    views = [np.stack([truth + rnd.normal(0, 0.35, 600), rnd.normal(size=600)], axis=1) for _ in range(2)]
-    few = np.r_[np.flatnonzero(truth == 1)[:4], np.flatnonzero(truth == 0)[:4]]
-    rest = np.setdiff1d(np.arange(600), few)
-    w = quality.co_train([v[few] for v in views], truth[few], np.ones(8), [v[rest] for v in views])
-    for v, own in zip(views, w):
-        assert ((quality.logit(v, own) > 0) == truth).mean() > 0.85
+    good, bad = [f"good{k}" for k in range(300)], [f"bad{k}" for k in range(300)]
+    rows = []
+    for k in range(1500):
+        c = k % 2
+        words = rnd.choice(good if c else bad, 12).tolist() + ["and"] * 3
+        rows.append((k, " ".join(words), f"{'site' if c else 'spam'}{rnd.integers(4)}", "en", 100))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    model = quality.train(docs, marks, F.lit(True))
+    assert all(a > 500 and b > 500 for a, b in model.taught)  # both views taught most of the pool
+    got = quality.score_quality(docs, model).collect()
+    assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got]) > 0.99
+    known = model.content[: quality.CONTENT[0]]
+    rare = [model.content[quality.word_features(w)[0]] for w in good]
+    assert np.mean(np.array(rare) > 0) > 0.95 and known.any()  # also words that no labelled page has
+
+
+def toxicity_brute(model, text):
+    """The network on one text, window by window, filter by filter."""
+    words = toxicity.split(text)
+    e = [model.embedding[p].astype(float).sum(axis=0) for p in toxicity.pieces(words)] + [np.zeros(toxicity.WIDTH)] * (toxicity.PAD + 1)
+    z = model.out_bias
+    at = 0
+    for w, n in toxicity.FILTERS.items():
+        for f in range(n):
+            best = max(sum(float(e[p + j] @ model.kernels[w][j][:, f]) for j in range(w) if p + j < len(e)) for p in range(len(words) + 1))
+            z += max(0.0, best + float(model.biases[w][f])) * float(model.out[at])
+            at += 1
+    p, cut = 1 / (1 + np.exp(-np.clip(z, -30, 30))), model.threshold
+    if model.languages:
+        logs = [sum(float(model.word_log[b[0], k]) for b in toxicity.pieces(words)) for k in range(len(model.languages))]
+        cut = model.thresholds[int(np.argmax(logs))]
+    return 0.5 * p / cut if p < cut else 0.5 + 0.5 * (p - cut) / (1 - cut)
+
+
+def test_toxicity_query_by_brute_force(spark, sf_dir, documents, labels, edge_rows):
+    from palimpsest.llm.queries import queries
+
+    model = toxicity.train(documents, labels, residue(F.col("doc_id"), 5) != 0)
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    got = queries()["op2_toxicity"](spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    short = [r for r in got if len(texts[r["doc_id"]] or "") < 3000]
+    assert len(short) > 100
+    for r in short:
+        assert abs(r["score"] - toxicity_brute(model, texts[r["doc_id"]])) < 1e-3, r["doc_id"]
+        assert r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    for _, t, *_ in edge_rows:
+        if len(t or "") < 3000:
+            assert abs(model.scores([t])[0] - toxicity_brute(model, t)) < 1e-3
+
+
+def language_brute(model, text):
+    padded = f" {(text or '').lower()} "
+    total = np.zeros(len(model.languages))
+    for p in range(len(padded)):
+        code = 0
+        for order in language.ORDERS:
+            # the n-gram that ends at p, or the longest one there is before it
+            start = max(0, p - order + 1)
+            code = 0
+            for k, c in enumerate(padded[start : p + 1]):
+                code = (code * 0x01000193 + ord(c) + k + 1) % (1 << 32)
+            total += model.weights[(code * 0x9E3779B1) % (1 << 32) >> (32 - model.bits)]
+    z = (total / (len(language.ORDERS) * len(padded)) + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    return model.languages[int(p.argmax())], float(p.max())
+
+
+def test_language_query_by_brute_force(spark, sf_dir, documents, edge_rows):
+    from palimpsest.llm.queries import queries
+
+    model = language.train(documents, residue(F.col("doc_id"), 3) != 1)
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    got = queries()["op3_language_id"](spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r["doc_id"]] or ""
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        if not any(map(str.isalpha, t)):
+            assert r["lang_pred"] == "und"
+        elif len(t) < 2500:
+            name, score = language_brute(model, t)
+            assert r["lang_pred"] == name and abs(r["score"] - score) < 1e-4
+
+
+def test_models_do_not_depend_on_partitions(spark, documents, labels):
+    one, two = documents.repartition(2, "lang"), documents.repartition(7, "doc_id")
+    a, b = (language.train(d, residue(F.col("doc_id"), 3) != 1) for d in (one, two))
+    assert (a.weights == b.weights).all() and (a.bias == b.bias).all() and a.temperature == b.temperature
+    a, b = (toxicity.train(d, labels, residue(F.col("doc_id"), 5) != 0) for d in (one, two))
+    assert (a.embedding == b.embedding).all() and a.thresholds == b.thresholds
+    a, b = (quality.train(d, labels, residue(F.col("doc_id"), 5) != 0) for d in (one, two))
+    assert (a.content == b.content).all() and (a.metadata == b.metadata).all() and np.allclose(a.mix, b.mix)
 
 
 def test_pipeline(spark, sf_dir):
