@@ -1,17 +1,17 @@
 """Quality classification by co-training of two views.
 
 One naive Bayes classifier sees a page's content: hashed words, word endings, word
-shapes and repetitions of the whole text.  The other sees only its metadata: source,
+shapes and repetitions of the whole text, all taken from its bytes without a loop.  The other sees only its metadata: source,
 language and stated size.  Both start from a bounded labelled sample.  In every round
 each classifier, calibrated on sample rows kept out of its sums, labels all documents
 of the pool it is sure of, and the other one learns from these; sums of feature counts
-are all that leaves a task, so the pool is the whole table at any size.  At last the
+are all that leaves a task, so the pool is the whole table at any size.  What a view
+teaches weighs as much as it has proved worth on the rows kept out.  At last the
 calibrated log-odds of both views are combined, and all documents are scored.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -28,22 +28,12 @@ METADATA = (1 << 16, 1 << 10, 1 << 16, 64)
 SURE = 0.95
 #: What one page counts in the sums of a kind of feature, shared by its words.
 PAGE = 1 << 24
-SHAPES = ((re.compile(r"[^\W\d_]"), "a"), (re.compile(r"\d"), "9"), (re.compile(r"(.)\1\1+", re.DOTALL), r"\1\1"))
-MEMO = 150_000
-
-
-def shape(word: str) -> str:
-    """Letters as ``a`` (``A`` in words of capitals), digits as ``9``, at most two alike in a row."""
-    out = word
-    for pattern, to in SHAPES:
-        out = pattern.sub(to, out)
-    return out.upper() if word.isupper() else out
-
-
-def word_features(word: str) -> tuple[int, int, int]:
-    """Buckets of a word, of its last three characters and of its shape."""
-    code = lambda s, salt: zlib.crc32(s.encode("utf-8", "surrogatepass"), salt)
-    return code(word.lower(), 0) % CONTENT[0], code(word[-3:], 1) % CONTENT[1], code(shape(word), 2) % CONTENT[2]
+#: Bytes of text worked on at a time, up to the end of a word.
+BLOCK = 1 << 20
+#: An odd factor and its inverse modulo 2**64, for hashes of words as sums over bytes.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+BLANK = (9, 10, 11, 12, 13, 32)
 
 
 def page_features(source: str | None, lang: str | None, size: int | None) -> tuple[int, int, int, int]:
@@ -54,43 +44,109 @@ def page_features(source: str | None, lang: str | None, size: int | None) -> tup
     return code(a, 3) % METADATA[0], code(b, 4) % METADATA[1], code(f"{a}\0{b}", 5) % METADATA[2], known
 
 
-class Pages:
-    """Features of slices of pages; remembers words (bounded, changes no result)."""
+def _powers(base: int, n: int):
+    import numpy as np
+
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-    def __init__(self):
-        import numpy as np
 
-        self.memo: dict[str, int] = {}
-        self.rows = np.zeros((1 << 12, 3), dtype=np.int64)
+def word_features(data, edges):
+    """Buckets of all words of texts in UTF-8: (hashes, [words, 3] buckets, words per text).
+
+    ``data`` holds the bytes of all texts in a row, ``edges`` where they begin and the
+    end.  A word is a run of bytes other than ASCII white space.  Its buckets are those
+    of its bytes with A-Z lower-cased, of its last three bytes, and of its shape: its
+    length, whether capitals, digits or other signs are some or all of it, and what
+    signs it begins and ends with.
+    """
+    import numpy as np
 
-    def content(self, texts: list[str | None]):
-        """Per word of all texts in a row its four buckets, and where each text begins."""
+    n = len(data)
+    blank = np.isin(data, np.array(BLANK, dtype=np.uint8))
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[edges] = True
+    inside = ~blank
+    open_ = inside.copy()
+    open_[1:] &= blank[:-1] | edge[1:n]
+    shut = inside.copy()
+    shut[:-1] &= blank[1:] | edge[1:n]
+    starts, ends = np.flatnonzero(open_), np.flatnonzero(shut) + 1
+    per_text = np.diff(np.searchsorted(starts, edges))
+    upper, digit = (data >= 65) & (data <= 90), (data >= 48) & (data <= 57)
+    letter = upper | ((data >= 97) & (data <= 122)) | (data >= 128)
+    code = np.where(upper, data + 32, data).astype(np.uint64) + np.uint64(1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * _powers(FACTOR, n), dtype=np.uint64)])
+    hashes = _mixed((sums[ends] - sums[starts]) * _powers(INVERSE, n)[starts])
+    size = ends - starts
+    byte = lambda at, ok: np.where(ok, data[np.where(ok, at, 0)], 0).astype(np.uint64) if n else np.zeros(0, np.uint64)
+    first, last = byte(starts, size > 0), byte(ends - 1, size > 0)
+    tail = last + np.uint64(256) * byte(ends - 2, size > 1) + np.uint64(65536) * byte(ends - 3, size > 2)
+
+    def some(mask):
+        """0: no byte of a word, 1: some, 2: all."""
+        count = np.concatenate([[0], np.cumsum(mask)])
+        found = count[ends] - count[starts]
+        return ((found > 0).astype(np.uint64) + (found == size)).astype(np.uint64)
+
+    sign = lambda b: np.where((b < 48) | ((b > 57) & (b < 65)) | ((b > 90) & (b < 97)) | ((b > 122) & (b < 128)), b, 0).astype(np.uint64)
+    shape = np.minimum(size, 15).astype(np.uint64)
+    for part, width in ((some(upper), 3), (some(digit), 3), (some(~letter & ~digit), 3), (sign(first), 256), (sign(last), 256), ((byte(ends - 2, size > 1) == last).astype(np.uint64), 2)):
+        shape = shape * np.uint64(width) + part
+    buckets = [_mixed(x + np.uint64(salt << 32)) % np.uint64(m) for x, salt, m in zip((hashes, tail, shape), (0, 1, 2), CONTENT, strict=False)]
+    return hashes, np.stack(buckets, axis=1).astype(np.int64), per_text
+
+
+def _mixed(x):
+    """A mix of the bits of 64-bit numbers."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Pages:
+    """Features of slices of pages."""
+
+    @staticmethod
+    def content(texts):
+        """Of an Arrow string column: per word of all texts in a row its four buckets,
+        and where each text's words begin and how many it has."""
         import numpy as np
+        import pyarrow as pa
 
-        words = [(t or "").split() for t in texts]
-        new = dict.fromkeys(w for ws in words for w in ws if w not in self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo, new = {}, dict.fromkeys(w for ws in words for w in ws)
-        first = len(self.memo)
-        while first + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        if new:
-            self.rows[first : first + len(new)] = list(map(word_features, new))
-            self.memo.update((w, first + k) for k, w in enumerate(new))
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        starts = np.cumsum(sizes) - sizes
-        get = self.memo.__getitem__
-        ids = np.fromiter((k for ws in words for k in map(get, ws)), dtype=np.int64, count=int(sizes.sum()))
-        again = np.zeros(len(ids), dtype=np.int64)
-        again[1:] = ids[1:] == ids[:-1]
-        again[starts[sizes > 0]] = 0
-        return np.concatenate([self.rows[ids], again[:, None]], axis=1), starts, sizes
+        texts = texts.fill_null("").cast(pa.string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        edges = offsets - offsets[0]
+        hashes, buckets, counts = [], [], np.zeros(len(texts), np.int64)
+        at, blank = 0, np.array(BLANK, dtype=np.uint8)
+        while at < len(data):
+            end = min(at + BLOCK, len(data))
+            while end < len(data) and not np.isin(data[end], blank):  # on to the end of a word
+                ahead = np.flatnonzero(np.isin(data[end : end + BLOCK], blank))
+                end = end + int(ahead[0]) if len(ahead) else min(end + BLOCK, len(data))
+            lo, hi = int(np.searchsorted(edges, at, "right")) - 1, int(np.searchsorted(edges, end, "left"))
+            own = np.clip(edges[lo : hi + 1], at, end) - at
+            h, b, n = word_features(data[at:end], own)
+            counts[lo:hi] += n
+            hashes.append(h)
+            buckets.append(b)
+            at = end
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        rows = np.concatenate(buckets) if buckets else np.zeros((0, 3), np.int64)
+        starts = np.cumsum(counts) - counts
+        again = np.zeros(len(h), dtype=np.int64)
+        again[1:] = h[1:] == h[:-1]
+        again[starts[counts > 0]] = 0
+        return np.concatenate([rows, again[:, None]], axis=1), starts, counts
 
     @staticmethod
-    def metadata(sources, langs, lengths):
+    def metadata(sources, langs, sizes):
         import numpy as np
 
-        return np.array(list(map(page_features, sources, langs, lengths)), dtype=np.int64).reshape(-1, len(METADATA))
+        return np.array(list(map(page_features, sources.to_pylist(), langs.to_pylist(), sizes.to_pylist())), dtype=np.int64).reshape(-1, len(METADATA))
 
 
 def _spans(kinds: tuple[int, ...]) -> list[slice]:
@@ -143,6 +199,7 @@ class QualityModel:
     metadata: object
     scales: tuple = ((1.0, 0.0), (1.0, 0.0))
     mix: tuple = (0.5, 0.5, 0.0)
+    worth: tuple = (1.0, 1.0)
     rounds: int = 0
     taught: tuple = ()  # pages each view labelled for the other, by round
 
@@ -153,8 +210,8 @@ class QualityModel:
         own, starts, counts = pages.content(texts)
         offsets = np.array([s.start for s in _spans(CONTENT)])
         per_word = self.content[own + offsets].sum(axis=1)
-        total = np.concatenate([[0.0], np.cumsum(per_word)])
-        mean = (total[starts + counts] - total[starts]) / np.maximum(counts, 1)
+        total = np.where(counts > 0, np.add.reduceat(np.append(per_word, 0.0), starts), 0.0) if len(starts) else np.zeros(0)
+        mean = total / np.maximum(counts, 1)
         meta = pages.metadata(sources, langs, sizes)
         about = self.metadata[meta + np.array([s.start for s in _spans(METADATA)])].sum(axis=1)
         return mean, about, (own, starts, counts), meta
@@ -173,7 +230,7 @@ class QualityModel:
 
 
 def _columns(part, at: int = 0):
-    return [part.column(k).to_pylist() for k in range(at, at + 4)]
+    return [part.column(k) for k in range(at, at + 4)]
 
 
 def _sums(rows: DataFrame, model: QualityModel | None = None, sure: float = SURE):
@@ -197,7 +254,7 @@ def _sums(rows: DataFrame, model: QualityModel | None = None, sure: float = SURE
         sums = [np.zeros((2, w)) for w in widths]
         taught = np.zeros((2, 2), dtype=np.int64)
         blank = QualityModel(np.zeros(widths[0]), np.zeros(widths[1]))
-        for part in sliced(batches, 256, text=0):
+        for part in sliced(batches, 2048, text=0):
             x, y, (own, _, counts), meta = (model or blank).raw(pages, *_columns(part))
             if model is None:
                 marks = np.array(part.column(4).to_pylist())
@@ -237,7 +294,7 @@ def _raw_scores(rows: DataFrame, model: QualityModel):
         import pyarrow as pa
 
         pages = Pages()
-        for part in sliced(batches, 256, text=0):
+        for part in sliced(batches, 2048, text=0):
             x, y, _, _ = model.raw(pages, *_columns(part))
             yield pa.RecordBatch.from_arrays([part.column(4), part.column(5), part.column(6), pa.array(x), pa.array(y)], names=["label", "weight", "place", "x", "y"])
 
@@ -248,11 +305,20 @@ def _raw_scores(rows: DataFrame, model: QualityModel):
 
 
 def _calibrate(rows: DataFrame, model: QualityModel) -> None:
-    """Fit both views' scales and their combination on sample rows outside the sums."""
+    """Fit both views' scales and their combination on sample rows outside the sums.
+
+    A view's worth is the share of the labels' uncertainty that its scores remove.
+    """
     import numpy as np
 
     label, weight, x, y = _raw_scores(rows, model)
     model.scales = tuple(tuple(map(float, fit_logistic(v[:, None], label, weight))) for v in (x, y))
+    def loss(z):
+        return float((weight * (np.logaddexp(0, z) - label * z)).sum())
+
+    known = float((weight * label).sum() / weight.sum())
+    prior = loss(np.full(len(label), np.log(known / (1 - known))))
+    model.worth = tuple(max(0.0, 1.0 - loss(z) / prior) for z in model.calibrated(x, y))
     model.mix = tuple(map(float, fit_logistic(np.stack(model.calibrated(x, y), axis=1), label, weight)))
 
 
@@ -309,9 +375,9 @@ def train(
             own = []
             for c in (0, 1):
                 a, b, n = first[view][c], more[view][c], pages_taught[view, c]
-                # a class taught to a view weighs as much as its labelled pages, whatever the table's size
+                # whatever the table's size, a class taught weighs as the labelled one, times the teacher's worth
                 labelled = a[_spans(kind)[0]].sum()
-                own.append(a + b * (labelled / n) if n >= 1 else a)
+                own.append(a + b * (model.worth[1 - view] * labelled / n) if n >= 1 else a)
             views.append(log_odds(own[1], own[0], kind))
         taught.append(tuple(int(x) for x in pages_taught.sum(axis=1)))
         model = QualityModel(*views)
@@ -339,7 +405,7 @@ def score_quality(
 
         held()
         pages = Pages()
-        for part in sliced(batches, 256, text=1):
+        for part in sliced(batches, 2048, text=1):
             found = model.scores(pages, *_columns(part, 1)) if model else [0.5] * part.num_rows
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 

@@ -101,18 +101,53 @@ def test_quality(spark, larger, edges, nothing):
     assert {r["score"] for r in quality.score_quality(edges, None).collect()} == {0.5}
 
 
+def quality_words(text):
+    """Hash and buckets of each word, byte by byte."""
+    words = [w for w in (text or "").encode().replace(b"\t", b" ").replace(b"\n", b" ").replace(b"\x0b", b" ").replace(b"\x0c", b" ").replace(b"\r", b" ").split(b" ") if w]
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & mask
+        return x ^ (x >> 32)
+
+    out = []
+    for w in words:
+        h = 0
+        for k, c in enumerate(w):
+            h = (h + ((c + 32 if 65 <= c <= 90 else c) + 1) * pow(quality.FACTOR, k, 1 << 64)) & mask
+        h = mix(h)
+        tail = sum(c * 256**k for k, c in enumerate(w[::-1][:3]))
+        some = lambda test: int(any(map(test, w))) + int(all(map(test, w)))
+        upper, digit = (lambda c: 65 <= c <= 90), (lambda c: 48 <= c <= 57)
+        other = lambda c: c < 128 and not chr(c).isalnum()
+        shape = min(15, len(w))
+        for part, width in ((some(upper), 3), (some(digit), 3), (some(other), 3), (w[0] if other(w[0]) else 0, 256), (w[-1] if other(w[-1]) else 0, 256), (int(len(w) > 1 and w[-2] == w[-1]), 2)):
+            shape = shape * width + part
+        out.append((h, [mix(x + (salt << 32) & mask) % m for x, salt, m in zip((h, tail, shape), (0, 1, 2), quality.CONTENT)]))
+    return [[*buckets, int(k > 0 and out[k - 1][0] == h)] for k, (h, buckets) in enumerate(out)]
+
+
 def quality_brute(model, text, source, lang, size):
-    words, spans = (text or "").split(), quality._spans(quality.CONTENT)
-    x = 0.0
-    for k, w in enumerate(words):
-        found = [*quality.word_features(w), int(k > 0 and words[k - 1] == w)]
-        x += sum(model.content[s.start + f] for s, f in zip(spans, found))
+    words, spans = quality_words(text), quality._spans(quality.CONTENT)
+    x = sum(model.content[s.start + f] for found in words for s, f in zip(spans, found))
     x /= max(1, len(words))
     y = sum(model.metadata[s.start + f] for s, f in zip(quality._spans(quality.METADATA), quality.page_features(source, lang, size)))
     (a, b), (c, d) = model.scales
     return 1 / (1 + np.exp(-np.clip(model.mix[0] * (a * x + b) + model.mix[1] * (c * y + d) + model.mix[2], -30, 30)))
 
 
+def test_quality_features_do_not_depend_on_the_block(monkeypatch, edge_rows):
+    import pyarrow as pa
+
+    texts = pa.array([r[1] for r in edge_rows])
+    whole = quality.Pages.content(texts)
+    assert whole[0].tolist() == [f for r in edge_rows for f in quality_words(r[1])] and whole[2].tolist() == [len(quality_words(r[1])) for r in edge_rows]
+    monkeypatch.setattr(quality, "BLOCK", 50)
+    for found in (quality.Pages.content(texts), quality.Pages.content(pa.concat_arrays([texts, texts]).slice(len(texts)))):
+        assert all((a == b).all() for a, b in zip(whole, found))
+    assert len(quality.Pages.content(pa.array([], pa.string()))[0]) == 0
+
+
 def test_quality_query_by_brute_force(spark, sf_dir, documents, labels):
     from palimpsest.llm.queries import queries
 
@@ -131,10 +166,9 @@ def test_quality_sums_by_brute_force(spark, edges, edge_rows):
     sums, taught = quality._sums(rows.repartition(3))
     content, metadata, n = np.zeros((2, sum(quality.CONTENT))), np.zeros((2, sum(quality.METADATA))), [0, 0]
     for r in rows.collect():
-        c, words = r["label"], (r["text"] or "").split()
+        c, words = r["label"], quality_words(r["text"])
         n[c] += 1
-        for k, w in enumerate(words):
-            found = [*quality.word_features(w), int(k > 0 and words[k - 1] == w)]
+        for found in words:
             for s, f in zip(quality._spans(quality.CONTENT), found):
                 content[c, s.start + f] += 1 / len(words)
         for s, f in zip(quality._spans(quality.METADATA), quality.page_features(r["source"], r["lang"], r["size"])):
@@ -158,9 +192,8 @@ def test_quality_views_teach_each_other(spark):
     assert all(a > 500 and b > 500 for a, b in model.taught)  # both views taught most of the pool
     got = quality.score_quality(docs, model).collect()
     assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got]) > 0.99
-    known = model.content[: quality.CONTENT[0]]
-    rare = [model.content[quality.word_features(w)[0]] for w in good]
-    assert np.mean(np.array(rare) > 0) > 0.95 and known.any()  # also words that no labelled page has
+    rare = [model.content[quality_words(w)[0][0]] for w in good]
+    assert np.mean(np.array(rare) > 0) > 0.95  # also words that no labelled page has
 
 
 def toxicity_brute(model, text):
