@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import FORMATS, LEVELS, Options
 
+#: Cells the key space is cut into where keys and files meet.
+CELLS = 128
+
 
 def file_stats(entries: DataFrame, file: str = "id") -> DataFrame:
     """Key range, counts and sequence range of every file of ``entries``."""
@@ -28,9 +31,26 @@ def overlapping(files: DataFrame, low=None, high=None) -> DataFrame:
 def holding(files: DataFrame, keys: DataFrame) -> DataFrame:
     """Pairs ``id, key`` of files whose key range covers a wanted key.
 
-    A range join over the files' sorted edges; the wanted keys are the request.
+    Some of the files' smallest keys cut the key space into cells; keys and files
+    meet by cell, a file once for each cell it reaches into.  Files of sorted levels
+    reach into few, and neither side is broadcast.
     """
-    return files.join(F.broadcast(keys.select("key").distinct()), F.col("key").between(F.col("smallest"), F.col("largest"))).select("id", "key")
+    cuts = [r["smallest"] for r in files.filter("smallest is not null").select("smallest").distinct().orderBy(F.xxhash64("smallest")).limit(CELLS).collect()]
+    cuts = sorted(bytes(c) if isinstance(c, bytearray) else c for c in cuts)
+
+    def cell(c: Column) -> Column:
+        def search(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            cut = F.lit(bytearray(cuts[middle]) if isinstance(cuts[middle], bytes) else cuts[middle])
+            return F.when(c < cut, search(low, middle)).otherwise(search(middle + 1, high))
+
+        return search(0, len(cuts))
+
+    ranges = files.filter("smallest is not null").select("id", "smallest", "largest", F.explode(F.sequence(cell(F.col("smallest")), cell(F.col("largest")))).alias("_cell"))
+    wanted = keys.select("key").filter("key is not null").distinct().withColumn("_cell", cell(F.col("key")))
+    return ranges.join(wanted, "_cell").filter(F.col("key").between(F.col("smallest"), F.col("largest"))).select("id", "key")
 
 
 def level_overlaps(files: DataFrame) -> DataFrame:
@@ -47,15 +67,22 @@ def trivial_move(inputs: DataFrame, next_level: DataFrame) -> DataFrame:
     """One row ``clashes, movable``: whether files may move down by metadata alone.
 
     No input may be empty, inputs must be strictly disjoint, and nothing in the
-    next level may overlap any of them.
+    next level may overlap any of them.  One walk over the sorted edges of both, a
+    row per file: an input clashes with another file if the furthest end before its
+    start, or the least start after it, lies within it.
     """
-    before = Window.orderBy("smallest", "id").rowsBetween(Window.unboundedPreceding, -1)
-    own = inputs.withColumn("reach", F.max("largest").over(before)).agg(
-        F.count_if((F.col("reach") >= F.col("smallest")) | (F.col("entry_count") == 0)).alias("own")
+    edges = inputs.select("smallest", "largest", "entry_count", F.lit(True).alias("_own"), "id").unionByName(
+        next_level.select("smallest", "largest", "entry_count", F.lit(False).alias("_own"), "id")
     )
-    other = next_level.select(F.col("smallest").alias("_s"), F.col("largest").alias("_l"))
-    met = inputs.join(other, (F.col("smallest") <= F.col("_l")) & (F.col("_s") <= F.col("largest")), "left_semi").agg(F.count(F.lit(1)).alias("met"))
-    both = own.unionByName(met.withColumnRenamed("met", "own")).agg(F.sum("own").alias("clashes"))
+    past = Window.orderBy("smallest", "_own", "id").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy("smallest", "_own", "id").rowsBetween(1, Window.unboundedFollowing)
+    other = lambda c: F.when(~F.col("_own"), F.col(c))
+    walked = edges.withColumns({
+        "_reach": F.max(F.when(F.col("_own"), F.col("largest"))).over(past), "_far": F.max(other("largest")).over(past), "_next": F.min(other("smallest")).over(ahead),
+    })
+    own = F.col("_own") & ((F.col("_reach") >= F.col("smallest")) | (F.col("entry_count") == 0))
+    met = F.col("_own") & ((F.col("_far") >= F.col("smallest")) | (F.col("_next") <= F.col("largest")))
+    both = walked.agg((F.count_if(own) + F.count_if(met)).alias("clashes"))
     return both.select("clashes", (F.col("clashes") == 0).cast("long").alias("movable"))
 
 

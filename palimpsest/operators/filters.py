@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from palimpsest.functions import bloom
-from palimpsest.operators.writes import sequential
+from palimpsest.operators.writes import greedy_cuts
 from palimpsest.shipping import ship
 
 
@@ -49,25 +50,34 @@ def cache_hits(accesses: DataFrame, capacity: int) -> DataFrame:
     """Hits of a byte-bounded least-recently-used cache over each queue's accesses.
 
     ``accesses`` has ``queue, ticket, block, bytes``.  An item larger than the
-    capacity is never held; a capacity of 0 turns the cache off.
+    capacity is never held; a capacity of 0 turns the cache off.  A queue is one
+    cache, whose state is its whole content, so its accesses pass one task in order;
+    memory holds the cached items and a batch.
     """
 
-    def start():
-        return OrderedDict(), [0]
-
-    def step(state, row):
-        held, used = state
-        hit = row.block in held
-        if hit:
-            held.move_to_end(row.block)
-        elif row.bytes <= capacity:
-            held[row.block] = row.bytes
-            used[0] += row.bytes
-            while used[0] > capacity:
-                used[0] -= held.popitem(last=False)[1]
-        return row.queue, row.ticket, row.block, int(hit)
-
-    return sequential(accesses.select("queue", "ticket", "block", "bytes"), "queue", ["ticket"], start, step, "queue long, ticket long, block long, hit long")
+    def run(batches):
+        import pyarrow as pa
+
+        at, held, used = None, OrderedDict(), 0
+        for batch in batches:
+            hits = []
+            for queue, block, size in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if queue != at:
+                    at, held, used = queue, OrderedDict(), 0
+                hit = block in held
+                hits.append(int(hit))
+                if hit:
+                    held.move_to_end(block)
+                elif size <= capacity:
+                    held[block] = size
+                    used += size
+                    while used > capacity:
+                        used -= held.popitem(last=False)[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hits, pa.int64())], names=["queue", "ticket", "block", "hit"])
+
+    ship(accesses.sparkSession)
+    rows = accesses.select(*(F.col(c).cast("long") for c in ("queue", "ticket", "block", "bytes")))
+    return rows.repartition("queue").sortWithinPartitions("queue", "ticket").mapInArrow(run, "queue long, ticket long, block long, hit long")
 
 
 def memtable_switches(entries: DataFrame, limit: int) -> DataFrame:
@@ -75,14 +85,4 @@ def memtable_switches(entries: DataFrame, limit: int) -> DataFrame:
 
     The buffer's size counts all versions; the version that fills it is its last.
     """
-
-    def start():
-        return [0, 0]  # buffer, bytes
-
-    def step(state, row):
-        if state[1] >= limit:
-            state[0], state[1] = state[0] + 1, 0
-        state[1] += row.bytes
-        return row.queue, row.seq, row.bytes, state[0]
-
-    return sequential(entries.select("queue", "seq", "bytes"), "queue", ["seq"], start, step, "queue long, seq long, bytes long, buffer long")
+    return greedy_cuts(entries, "seq", "buffer", limit, ends_full=True)

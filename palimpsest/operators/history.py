@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import DELETE, PUT
 
+#: Snapshot bounds that one expression searches.
+MOST_BOUNDS = 256
 
-def newest(history: DataFrame, at: int | Column | None = None) -> DataFrame:
+
+def newest(history: DataFrame, at: int | Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """The newest version of every key at or below ``at``, deletions included.
 
     The bound comes before the choice: an older version counts where the newest
     one is above it.  The rank filter lets Spark keep one row per key and task
-    before the shuffle, so a key with very many versions does no harm.
+    before the shuffle, so a key with very many versions does no harm.  ``by`` names
+    columns each of whose values is a history of its own, such as a write buffer.
     """
     rows = history if at is None else history.filter(F.col("seq") <= at)
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))
+    rank = F.row_number().over(Window.partitionBy(*by, "key").orderBy(F.desc("seq")))
     return rows.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
@@ -31,10 +35,34 @@ def newest_seq(history: DataFrame) -> DataFrame:
 
 
 def visible_at_each(history: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Live pairs at every ``bound`` of a small table of snapshot bounds."""
-    seen = history.join(F.broadcast(bounds.select("bound")), F.col("seq") <= F.col("bound"))
-    rank = F.row_number().over(Window.partitionBy("bound", "key").orderBy(F.desc("seq")))
-    return seen.withColumn("_rank", rank).filter(F.col("_rank") == 1).filter(F.col("kind") == PUT).drop("_rank", "kind")
+    """Live pairs at every ``bound`` of a table of snapshot bounds.
+
+    Each version belongs to the first bound that sees it; of a key's versions with
+    the same first bound only the newest counts, which leaves the shuffle at most one
+    row per key and bound and task.  A version is then repeated for the bounds up to
+    the key's next one, which makes the result and no more.
+    """
+    marks = [r["bound"] for r in bounds.select("bound").filter("bound is not null").distinct().orderBy("bound").limit(MOST_BOUNDS + 1).collect()]
+    if not marks:
+        return history.select(F.lit(None).cast("long").alias("bound"), "key", "seq", "value").limit(0)
+    if len(marks) > MOST_BOUNDS:  # too many to hold: in two halves of the sequence numbers
+        middle = marks[MOST_BOUNDS // 2]
+        return visible_at_each(history, bounds.filter(F.col("bound") <= middle)).unionByName(visible_at_each(history, bounds.filter(F.col("bound") > middle)))
+    kind = dict(bounds.dtypes)["bound"]
+
+    def first_at_least(low: int, high: int) -> Column:
+        """Number of the first bound not below a version: a binary search as one expression."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col("seq") <= F.lit(marks[middle]), first_at_least(low, middle)).otherwise(first_at_least(middle + 1, high))
+
+    seen = newest(history.withColumn("_first", first_at_least(0, len(marks))).filter(F.col("_first") < len(marks)), by=("_first",))
+    until = F.coalesce(F.lead("_first").over(Window.partitionBy("key").orderBy("_first")), F.lit(len(marks)))
+    spans = seen.withColumn("_until", until).filter(F.col("kind") == PUT)
+    table = F.array(*[F.lit(m).cast(kind) for m in marks])
+    each = F.explode(F.slice(table, F.col("_first") + 1, F.col("_until") - F.col("_first")))
+    return spans.withColumn("bound", each).drop("_first", "_until", "kind")
 
 
 def with_newer(history: DataFrame) -> DataFrame:

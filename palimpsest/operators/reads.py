@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from palimpsest.errors import InvalidArgument
 from palimpsest.functions.glob import like
 from palimpsest.operators.history import visible
+from palimpsest.shipping import ship
+from palimpsest.staging import settled
 
 
 def in_range(key: Column, low=None, high=None, low_open: bool = False, high_open: bool = True) -> Column:
@@ -92,21 +94,71 @@ def page(history: DataFrame, cursor: int, count: int = 10, pattern: bytes | str
     return paged.filter((F.col("pos") > cursor) & (F.col("pos") <= cursor + count)).filter(like(F.col("key"), pattern)).select("pos", "key", "next_cursor")
 
 
-def seek_next(live: DataFrame, starts: list, n: int) -> DataFrame:
-    """For every start the next ``n`` live keys: ``start, key, rn``.
+def seek_next(live: DataFrame, starts: DataFrame, n: int) -> DataFrame:
+    """For every distinct ``start`` the next ``n`` live keys: ``start, key, rn``.
 
-    The stated starts cut the key space into intervals.  Each interval keeps its
-    first ``n`` keys (at most that many per task reach the shuffle); a start then
-    takes the first ``n`` of what its own and the later intervals kept.
+    ``live`` has distinct keys, ``starts`` any number of rows.  Keys and starts are
+    range-partitioned and sorted together, and one pass over each partition hands
+    every start the keys behind it.  A start near the end of its partition takes the
+    rest from what comes after, for which each partition tells its first ``n`` keys.
+    One shuffle of keys and starts, no pairs beyond the result.  Null starts and keys
+    take no part; a start behind the last key has no rows.
     """
-    points = sorted({bytes(s) if isinstance(s, bytearray) else s for s in starts})
-    if not points:
-        return live.select(F.col("key").alias("start"), "key", F.lit(0).cast("long").alias("rn")).limit(0)
-    points = [bytearray(p) if isinstance(p, bytes) else p for p in points]
-    table = F.array(*[F.lit(p) for p in points])
-    interval = F.size(F.filter(table, lambda p: p <= F.col("key")))
-    inside = Window.partitionBy("interval").orderBy("key")
-    kept = live.select("key").filter(F.col("key") >= F.lit(points[0])).withColumn("interval", interval).withColumn("_rn", F.row_number().over(inside)).filter(F.col("_rn") <= n)
-    reached = kept.select(F.explode(F.slice(table, F.lit(1), F.col("interval"))).alias("start"), "key")
-    order = Window.partitionBy("start").orderBy("key")
-    return reached.withColumn("rn", F.row_number().over(order).cast("long")).filter(F.col("rn") <= n)
+    if n < 0:
+        raise InvalidArgument("LIMIT must be a non-negative integer")
+    kind = dict(live.dtypes)["key"]
+    keys = live.select("key", F.lit(1).cast("byte").alias("_kind")).filter("key is not null")
+    asked = starts.select(F.col("start").cast(kind).alias("key")).filter("key is not null").distinct().withColumn("_kind", F.lit(0).cast("byte"))
+    rows = keys.unionByName(asked).repartitionByRange("key").sortWithinPartitions("key", "_kind")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, text = TaskContext.get().partitionId(), pa.binary() if kind == "binary" else pa.string()
+        head, waiting, lacking = 0, pa.array([], text), np.zeros(0, np.int64)
+
+        def out(what, start, key, rn):
+            size = len(rn)
+            cols = [pa.array(np.full(size, part, np.int32)), pa.array(np.full(size, what, np.int8)), start, key, pa.array(np.asarray(rn, np.int64))]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "what", "start", "key", "rn"])
+
+        for batch in batches:
+            is_key = batch.column(1).to_numpy(zero_copy_only=False) == 1
+            here = batch.column(0).filter(pa.array(is_key)).cast(text)
+            own = batch.column(0).filter(pa.array(~is_key)).cast(text)
+            if head < n and len(here):
+                more = here.slice(0, n - head)
+                yield out(HEAD, pa.nulls(len(more), text), more, np.arange(head, head + len(more)))
+                head += len(more)
+            # keys before each start of this batch, and 0 for those that still wait
+            at = np.concatenate([np.zeros(len(waiting), np.int64), np.cumsum(is_key)[~is_key]])
+            had = np.concatenate([n - lacking, np.zeros(len(own), np.int64)])
+            everyone = pa.concat_arrays([waiting, own])
+            take = np.minimum(n - had, len(here) - at)
+            for k in range(0, len(take), 4096):  # slices bound the rows made at once
+                part_take = take[k : k + 4096]
+                which = np.repeat(np.arange(k, k + len(part_take)), part_take)
+                inside = np.arange(len(which)) - np.repeat(np.cumsum(part_take) - part_take, part_take)
+                if len(which):
+                    yield out(HIT, everyone.take(pa.array(which)), here.take(pa.array(at[which] + inside)), had[which] + inside + 1)
+            still = n - had - take
+            waiting, lacking = everyone.filter(pa.array(still > 0)), still[still > 0]
+        if len(waiting):
+            yield out(OPEN, waiting, pa.nulls(len(waiting), text), n - lacking)
+
+    ship(live.sparkSession)
+    found = settled(rows.mapInArrow(run, f"part int, what byte, start {kind}, key {kind}, rn long"))
+    hits = found.filter(F.col("what") == HIT).select("start", "key", "rn")
+    # first keys of all partitions in order: at most n a partition
+    heads = found.filter(F.col("what") == HEAD).select("part", "key", "rn").withColumn("place", F.row_number().over(Window.orderBy("part", "rn")))
+    before = found.select("part").distinct().join(heads.groupBy("part").agg(F.count(F.lit(1)).alias("own")), "part", "left")
+    upto = before.select("part", F.sum(F.coalesce("own", F.lit(0))).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)).alias("base"))
+    left = found.filter(F.col("what") == OPEN).select("part", "start", F.col("rn").alias("had")).join(upto, "part")
+    wanted = left.select("start", F.posexplode(F.sequence(F.col("had") + 1, F.lit(n).cast("long"))).alias("step", "rn"), "base").withColumn("place", F.col("base") + F.col("step") + 1)
+    return hits.unionByName(wanted.join(heads.select("place", "key"), "place").select("start", "key", "rn"))
+
+
+#: Rows a partition of :func:`seek_next` gives: found, still lacking keys, first keys.
+HIT, OPEN, HEAD = 0, 1, 2

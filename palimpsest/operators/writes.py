@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.config import GROUP_BYTES, PUT
+from palimpsest.functions.integers import HIGH, LOW, parse
 from palimpsest.shipping import ship
 
 
@@ -61,55 +60,188 @@ def fold_counters(commands: DataFrame, base: DataFrame | None = None) -> DataFra
     return both.filter(~F.coalesce(gone, F.lit(False))).select("key", (F.coalesce(start, F.lit(0)) + F.coalesce("_added", F.lit(0))).cast("long").alias("value"))
 
 
+def _whole(c: Column) -> Column:
+    """A text as a 64-bit integer, null where it is none."""
+    return F.when(c.rlike(r"^[+-]?[0-9]+\z"), c.try_cast("bigint"))
+
+
 def fold_commands(commands: DataFrame) -> DataFrame:
     """Exact end value and failure count per key, command by command.
 
     ``commands`` has ``key, seq, op, arg`` with text arguments.  An increment of a
     value that is no 64-bit integer, or that would overflow, fails and changes
-    nothing; later commands still run.  Needs a key's commands together, so use it
-    per write group or for keys with a bounded number of commands.
-    """
-    steps = F.array_sort(F.collect_list(F.struct("seq", "op", "arg")))
-    whole = lambda c: F.when(c.rlike(r"^[+-]?[0-9]+\z"), c.try_cast("bigint"))
-
-    def step(acc, x):
-        now = F.coalesce(acc["value"], F.lit("0"))
-        total = F.try_add(whole(now), whole(x["arg"]))
-        up = F.when(total.isNotNull(), F.struct(total.cast("string").alias("value"), acc["failed"].alias("failed"))).otherwise(
-            F.struct(acc["value"].alias("value"), (acc["failed"] + 1).alias("failed"))
-        )
-        return F.when(x["op"] == "SET", F.struct(x["arg"].alias("value"), acc["failed"].alias("failed"))).when(
-            x["op"] == "DEL", F.struct(F.lit(None).cast("string").alias("value"), acc["failed"].alias("failed"))
-        ).otherwise(up)
+    nothing; later commands still run.
 
-    start = F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("failed"))
-    return commands.groupBy("key").agg(F.aggregate(steps, start, step).alias("_end")).select("key", "_end.value", "_end.failed")
-
-
-def sequential(df: DataFrame, queue: str, order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
-    """A left-to-right fold over each queue's ordered rows, streamed.
-
-    For decisions that depend on earlier ones (greedy groups, switches).  Rows are
-    sorted within partitions and passed by, so memory does not grow with a queue.
-    ``start()`` gives a state; ``step(state, row)`` returns an output tuple.
+    Every SET or DEL begins a run of its own.  Within a run, running sums of the
+    valid increments tell whether any of them overflows; if none does, end value and
+    failures are plain aggregates.  The runs with an overflow are folded one command
+    after the other, passing by in order; nothing collects a key's commands.
     """
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator):
-        import pandas as pd
-
-        at, state = None, None
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                own = getattr(row, queue)
-                if state is None or own != at:
-                    at, state = own, start()
-                out.append(step(state, row))
-            yield pd.DataFrame(out, columns=names)
-
-    ship(df.sparkSession)
-    return df.repartition(queue).sortWithinPartitions(queue, *order).mapInPandas(run, schema)
+    order = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    runs = commands.withColumn("_run", F.count_if(F.col("op") != "INCR").over(order))
+    base = F.when(F.col("op") == "SET", F.col("arg"))
+    by = F.when(F.col("op") == "INCR", _whole(F.col("arg"))).cast("decimal(38,0)")
+    sofar = F.sum(by).over(Window.partitionBy("key", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    ends = runs.withColumns({"_base": base, "_by": by, "_sofar": sofar}).groupBy("key", "_run").agg(
+        F.max("_base").alias("base"), F.sum("_by").alias("added"), F.min("_sofar").alias("least"), F.max("_sofar").alias("most"),
+        F.count_if(F.col("op") == "INCR").alias("steps"), F.count("_by").alias("valid"),
+    )
+    number = F.when(F.col("base").isNotNull(), _whole(F.col("base"))).otherwise(F.lit(0)).cast("decimal(38,0)")
+    stuck = number.isNull()  # a text no increment can change
+    over = ~stuck & ((number + F.col("most") > HIGH) | (number + F.col("least") < LOW))
+    judged = ends.withColumns({"_number": number, "_stuck": stuck, "_over": F.coalesce(over, F.lit(False))})
+    plain = judged.filter(~F.col("_over")).select(
+        "key", "_run", F.when(F.col("_stuck") | (F.col("valid") == 0), F.col("base")).otherwise((F.col("_number") + F.col("added")).cast("bigint").cast("string")).alias("value"),
+        F.when(F.col("_stuck"), F.col("steps")).otherwise(F.col("steps") - F.col("valid")).alias("failed"),
+    )
+    slow = runs.join(judged.filter("_over").select("key", "_run"), ["key", "_run"], "left_semi").select("key", "_run", "seq", "op", "arg")
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, value, failed = None, None, 0
+
+        def rows(done):
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=["key", "_run", "value", "failed"])
+
+        kinds = None
+        for batch in batches:
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64()]
+            done = []
+            for key, nr, op, arg in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+                if at != (key, nr):
+                    if at is not None:
+                        done.append((*at, value, failed))
+                    at, value, failed = (key, nr), None, 0
+                if op != "INCR":
+                    value = arg if op == "SET" else None
+                    continue
+                total, step = 0 if value is None else parse(value.encode()), None if arg is None else parse(arg.encode())
+                if total is None or step is None or not LOW <= total + step <= HIGH:
+                    failed += 1
+                else:
+                    value = str(total + step)
+            if done:
+                yield rows(done)
+        if at is not None:
+            yield rows([(*at, value, failed)])
+
+    ship(commands.sparkSession)
+    kind = dict(commands.dtypes)["key"]
+    exact = slow.repartition("key", "_run").sortWithinPartitions("key", "_run", "seq").mapInArrow(run, f"key {kind}, _run long, value string, failed long")
+    every = plain.unionByName(exact)
+    return every.groupBy("key").agg(F.max_by(F.struct("value"), "_run").alias("_last"), F.sum("failed").alias("failed")).select("key", "_last.value", "failed")
+
+
+def greedy_cuts(entries: DataFrame, number: str, out: str, limit: int, ends_full: bool, block: int = 1 << 14) -> DataFrame:
+    """Greedy groups over each queue's entries ``queue, number, bytes`` in order.
+
+    With ``ends_full`` a group ends with the entry that reaches ``limit``; without it
+    before the entry that would exceed it.  Either way it has its first entry.
+
+    The entries are dealt into blocks of consecutive numbers.  A block cannot know how
+    full the group is that reaches into it, but that group's end is one of its first
+    few entries, and from there on all is determined.  So every block tells, for each
+    entry its first own group may begin with, how many groups it has and how full the
+    last one stays; these short tables are walked per queue, and each block is then
+    numbered on its own.  As many tasks work as there are blocks, not queues.
+    """
+    rows = entries.select("queue", number, "bytes").withColumn("_block", F.floor(F.col(number) / block))
+
+    def jumps(sizes):
+        """Running sums, and for each entry the first entry of the group after its own."""
+        import numpy as np
+
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(len(sizes))
+        if ends_full:
+            after = np.searchsorted(sums, sums[:-1] + limit, "left")
+        else:
+            after = np.searchsorted(sums, sums[:-1] + limit, "right") - 1
+        return sums, np.maximum(after, at + 1)
+
+    def first_cut(sums, carry):
+        """The entry a new group begins with, if one of size ``carry`` reaches into the block."""
+        import numpy as np
+
+        if carry < 0:  # nothing reaches in
+            return 0
+        if ends_full:
+            return int(np.searchsorted(sums, limit - carry, "left"))
+        return max(0, int(np.searchsorted(sums, limit - carry, "right")) - 1)
+
+    def table(key, t):
+        import numpy as np
+        import pyarrow as pa
+
+        t = t.sort_by(number)
+        sizes = t.column("bytes").to_numpy().astype(np.int64)
+        n = len(sizes)
+        sums, after = jumps(sizes)
+        count, full = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        whole = int(sums[n])
+        for i, (j, s) in enumerate(zip(after[::-1].tolist(), sums[n - 1 :: -1].tolist(), strict=True)):
+            at = n - 1 - i
+            count[at], full[at] = (count[j] + 1, full[j]) if j < n else (1, whole - s)
+        reach = min(n, first_cut(sums, 0))  # no group that reaches in ends later
+        same = lambda x: np.full(reach + 1, x)
+        columns = [same(key[0].as_py()), same(key[1].as_py()), np.arange(reach + 1), sums[: reach + 1], count[: reach + 1], full[: reach + 1], same(whole), same(n)]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["queue", "_block", "cut", "upto", "count", "full", "total", "size"])
+
+    def walk(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        queue, block_at, lines, carry, group = None, None, [], -1, -1
+
+        def pass_block():
+            """Where the block's first own group begins and its number, moving on to the next block."""
+            nonlocal carry, group
+            upto = np.array([x[1] for x in lines])
+            _, _, _, _, total, size = lines[0]
+            cut = min(first_cut(upto, carry), len(lines) - 1)
+            row = (queue, block_at, carry, group)
+            if carry >= 0 and cut >= size:
+                carry += total
+            else:
+                group += int(lines[cut][2])
+                carry = int(lines[cut][3])
+            return row
+
+        for batch in batches:
+            done = []
+            for q, b, *line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (q, b) != (queue, block_at):
+                    if lines:
+                        done.append(pass_block())
+                    if q != queue:
+                        carry, group = -1, -1
+                    queue, block_at, lines = q, b, []
+                lines.append(line)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names=["queue", "_block", "carry", "before"])
+        if lines:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in pass_block()], names=["queue", "_block", "carry", "before"])
+
+    def number_block(key, left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        left = left.sort_by(number)
+        sizes = left.column("bytes").to_numpy().astype(np.int64)
+        carry, before = right.column("carry")[0].as_py(), right.column("before")[0].as_py()
+        sums, after = jumps(sizes)
+        begins = np.zeros(len(sizes), np.int64)
+        i, hop = min(first_cut(sums, carry), len(sizes)), after.tolist()
+        while i < len(sizes):
+            begins[i] = 1
+            i = hop[i]
+        return pa.table({"queue": left.column("queue"), number: left.column(number), "bytes": left.column("bytes"), out: pa.array(before + np.cumsum(begins))})
+
+    ship(entries.sparkSession)
+    tables = rows.groupBy("queue", "_block").applyInArrow(table, "queue long, _block long, cut long, upto long, count long, full long, total long, size long")
+    entry = tables.repartition("queue").sortWithinPartitions("queue", "_block", "cut").mapInArrow(walk, "queue long, _block long, carry long, before long")
+    return rows.groupBy("queue", "_block").cogroup(entry.groupBy("queue", "_block")).applyInArrow(number_block, f"queue long, {number} long, bytes long, {out} long")
 
 
 def write_groups(entries: DataFrame, limit: int = GROUP_BYTES) -> DataFrame:
@@ -118,35 +250,45 @@ def write_groups(entries: DataFrame, limit: int = GROUP_BYTES) -> DataFrame:
     A group takes its first entry whatever its size, then more while the total
     stays within the limit.
     """
-
-    def start():
-        return [0, 0]  # group, bytes
-
-    def step(state, row):
-        if state[0] == 0 or state[1] + row.bytes > limit:
-            state[0], state[1] = state[0] + 1, 0
-        state[1] += row.bytes
-        return row.queue, row.ticket, row.bytes, state[0] - 1
-
-    return sequential(entries.select("queue", "ticket", "bytes"), "queue", ["ticket"], start, step, "queue long, ticket long, bytes long, grp long")
+    return greedy_cuts(entries, "ticket", "grp", limit, ends_full=False)
 
 
 def split_files(entries: DataFrame, target: int) -> DataFrame:
     """File number of every sorted entry ``part, key, seq, bytes`` of a merge.
 
     A file ends at the first new key after it reached the target size; versions of
-    one key never part.  ``part`` is a key range of its own.
+    one key never part.  ``part`` is a key range of its own, as a merge deals them.
+    Keys are summed up first, so what is walked is one row per key, by jumps over
+    running sums; memory holds a batch of keys.
     """
-
-    def start():
-        return [0, 0, None]  # file, bytes, last key
-
-    def step(state, row):
-        if state[1] >= target and row.key != state[2]:
-            state[0], state[1] = state[0] + 1, 0
-        state[1] += row.bytes
-        state[2] = row.key
-        return row.part, row.key, row.seq, row.bytes, state[0]
-
-    ready = entries.select("part", "key", "seq", "bytes").withColumn("_down", -F.col("seq"))
-    return sequential(ready, "part", ["key", "_down"], start, step, "part long, key string, seq long, bytes long, file long")
+    ship(entries.sparkSession)
+    totals = entries.groupBy("part", "key").agg(F.sum("bytes").alias("_bytes"))
+    kind = dict(entries.dtypes)["key"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        part, file, full = None, 0, 0
+        for batch in batches:
+            parts, sizes = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
+            files = np.zeros(len(parts), np.int64)
+            edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if parts[a] != part:
+                    part, file, full = parts[a], 0, 0
+                sums = np.concatenate([[0], np.cumsum(sizes[a:b])])
+                i, begins = int(np.searchsorted(sums, target - full, "left")), np.zeros(b - a, np.int64)
+                last = -1
+                while i < b - a:
+                    begins[i], last = 1, i
+                    i = max(i + 1, int(np.searchsorted(sums, sums[i] + target, "left")))
+                files[a:b] = file + np.cumsum(begins)
+                file = int(files[b - 1])
+                full = int(sums[-1] - sums[last]) if last >= 0 else full + int(sums[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(files)], names=["part", "key", "file"])
+
+    dealt = totals.repartition("part").sortWithinPartitions("part", "key").mapInArrow(run, f"part long, key {kind}, file long")
+    return entries.select("part", "key", "seq", "bytes").join(dealt, ["part", "key"])

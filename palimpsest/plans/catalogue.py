@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import files, filters, history as hist, reads, stats, transactions, writes
+from palimpsest.staging import shared_dir
 from palimpsest.plans.inputs import SQL, event_files, history, order_files, table, user_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +19,6 @@ SOME_KEYS = ["user:000046", "user:000003", "user:000017"]
 WANTED = ["user:000003", "user:000046", "user:999999", "user:000003", "user:000120"]
 LOW, HIGH = "user:000020", "user:000040"
 AS_OF = 5000
-STARTS = ["user:", "user:000010", "user:0000105", "user:000100", "user:000149", "v"]
 
 
 def query(sql: str | None = None):
@@ -141,12 +141,24 @@ def range_limit(spark, sf_dir):
     return _kv(reads.first_pairs(history(spark, sf_dir), LOW, "user:000090", 25), "pos")
 
 
-@query(f"""
-, st(s) as (values {', '.join(f"('{s}')" for s in STARTS)})
+@query("""
+, st as (select distinct concat('user:', lpad(cast(o_custkey % 400 as varchar(20)), 6, '0'), case when o_orderkey % 3 = 0 then 'x' else '' end) as s from orders)
 select s, k, rn from (select st.s, live.k, row_number() over (partition by st.s order by live.k) as rn from st join live on live.k >= st.s) t where rn <= 10""")
 def seek_next(spark, sf_dir):
     live = hist.visible(history(spark, sf_dir).select("key", "seq", "kind"))
-    return reads.seek_next(live, STARTS, 10).select(F.col("start").alias("s"), F.col("key").alias("k"), "rn")
+    o = table(spark, sf_dir, "orders")
+    starts = o.select(F.concat(user_key(F.col("o_custkey") % 400), F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise("")).alias("start"))
+    return reads.seek_next(live, starts, 10).select(F.col("start").alias("s"), F.col("key").alias("k"), "rn")
+
+
+@query("""
+, w as (select o_orderkey as pos, concat('user:', lpad(cast(o_custkey as varchar(20)), 6, '0')) as k from orders)
+select w.pos, w.k, live.v from w left join live on live.k = w.k""")
+def mget_many(spark, sf_dir):
+    """One wanted key per order, repeated and missing ones included, as one join."""
+    o = table(spark, sf_dir, "orders")
+    wanted = o.select(F.col("o_orderkey").alias("pos"), user_key(F.col("o_custkey")).alias("key"))
+    return reads.multi_get(history(spark, sf_dir), wanted).select("pos", F.col("key").alias("k"), F.col("value").alias("v"))
 
 
 # -- garbage collection -------------------------------------------------------------
@@ -187,8 +199,7 @@ select batch, k, seq, kind from (select *, cast(floor((seq-1)/250) as bigint) as
   row_number() over (partition by cast(floor((seq-1)/250) as bigint), k order by seq desc) rn from h) t where rn = 1""")
 def flush_dedup(spark, sf_dir):
     h = history(spark, sf_dir).withColumn("batch", F.floor((F.col("seq") - 1) / 250))
-    one = h.withColumn("_rank", F.row_number().over(Window.partitionBy("batch", "key").orderBy(F.desc("seq")))).filter(F.col("_rank") == 1)
-    return one.select("batch", F.col("key").alias("k"), "seq", F.when(F.col("kind") == 1, "P").otherwise("D").alias("kind"))
+    return hist.newest(h, by=("batch",)).select("batch", F.col("key").alias("k"), "seq", F.when(F.col("kind") == 1, "P").otherwise("D").alias("kind"))
 
 
 @query("""
@@ -312,7 +323,7 @@ def group_sizes(spark, sf_dir):
     return writes.write_groups(entries, 20000).groupBy("queue", "grp").agg(F.count(F.lit(1)).alias("entries"), F.sum("bytes").alias("n_bytes"))
 
 
-@query("""--recursive
+_SPLIT_SQL = """--recursive
 , e as (select cast(substr(k, 10, 1) as bigint) as part, k, row_number() over (partition by substr(k, 10, 1) order by k, seq desc) as pos,
     strlen(k) + coalesce(strlen(v), 0) + 17 as n from h)
 , f(part, pos, file, total, n, k) as (
@@ -321,38 +332,36 @@ def group_sizes(spark, sf_dir):
     select e.part, e.pos, case when f.total >= 4096 and e.k <> f.k then f.file + 1 else f.file end,
       case when f.total >= 4096 and e.k <> f.k then e.n else f.total + e.n end, e.n, e.k
     from f join e on e.part = f.part and e.pos = f.pos + 1)
-select part, file, min(k) as smallest, max(k) as largest, cast(sum(n) as bigint) as n_bytes from f group by part, file""")
-def split_files(spark, sf_dir):
+"""
+
+
+def _merge_entries(spark, sf_dir) -> DataFrame:
     h = history(spark, sf_dir)
-    entries = h.select((F.substring("key", 10, 1).cast("long")).alias("part"), "key", "seq", (hist.user_bytes(h) + 17).cast("long").alias("bytes"))
-    return writes.split_files(entries, 4096).groupBy("part", "file").agg(F.min("key").alias("smallest"), F.max("key").alias("largest"), F.sum("bytes").alias("n_bytes"))
+    return h.select(F.substring("key", 10, 1).cast("long").alias("part"), "key", "seq", (hist.user_bytes(h) + 17).cast("long").alias("bytes"))
+
+
+@query(_SPLIT_SQL + "select part, file, min(k) as smallest, max(k) as largest, cast(sum(n) as bigint) as n_bytes from f group by part, file")
+def split_files(spark, sf_dir):
+    dealt = writes.split_files(_merge_entries(spark, sf_dir), 4096)
+    return dealt.groupBy("part", "file").agg(F.min("key").alias("smallest"), F.max("key").alias("largest"), F.sum("bytes").alias("n_bytes"))
 
 
 # -- transactions ------------------------------------------------------------------------
 
 
 @query("""
-, tx as (select event_id as txid, concat('user:', lpad(cast(user_id as varchar(20)), 6, '0')) as k, event_id - 50 as read_seq, event_id as commit_seq
-    from events where event_id % 97 = 0)
-select txid, case when exists (select 1 from h where h.k = tx.k and h.seq > tx.read_seq and h.seq <= tx.commit_seq) then cast(1 as bigint) else 0 end as conflict from tx""")
+, tx as (select event_id as txid, concat('user:', lpad(cast(user_id as varchar(20)), 6, '0')) as k, event_id - 50 as read_seq, event_id as commit_seq from events)
+select txid, max(case when h.seq is not null then cast(1 as bigint) else 0 end) as conflict from tx left join h on h.k = tx.k and h.seq > tx.read_seq and h.seq <= tx.commit_seq group by txid""")
 def tx_conflicts(spark, sf_dir):
-    checked = _checked(table(spark, sf_dir, "events").filter("event_id % 97 = 0"))
+    """Every event is a transaction that read 50 numbers before it committed."""
+    e = table(spark, sf_dir, "events")
+    checked = e.select(F.col("event_id").alias("tx_id"), user_key(F.col("user_id")).alias("key"), (F.col("event_id") - 50).alias("read_seq"), F.col("event_id").alias("commit_seq"))
     return transactions.conflicts(history(spark, sf_dir), checked).withColumnRenamed("tx_id", "txid")
 
 
-@query()
-def tx_conflicts_all(spark, sf_dir):
-    """Every event is a transaction; the SQL above takes one in 97."""
-    return transactions.conflicts(history(spark, sf_dir), _checked(table(spark, sf_dir, "events"))).withColumnRenamed("tx_id", "txid")
-
-
-def _checked(e: DataFrame) -> DataFrame:
-    return e.select(F.col("event_id").alias("tx_id"), user_key(F.col("user_id")).alias("key"), (F.col("event_id") - 50).alias("read_seq"), F.col("event_id").alias("commit_seq"))
-
-
 @query("""--recursive
 , g as (select event_id // 20 as grp, event_id as ticket, row_number() over (partition by event_id // 20 order by event_id) as pos,
-    user_id % 12 as wkey, (user_id + event_id) % 12 as lkey, event_id % 4 <> 0 as tx from events where event_id < 400)
+    user_id % 12 as wkey, (user_id + event_id) % 12 as lkey, event_id % 4 <> 0 as tx from events)
 , f(grp, pos, ticket, accepted, written) as (
     select grp, pos, ticket, cast(1 as bigint), [wkey] from g where pos = 1
     union all
@@ -362,12 +371,7 @@ def _checked(e: DataFrame) -> DataFrame:
     from f join g on g.grp = f.grp and g.pos = f.pos + 1)
 select grp, ticket, accepted from f""")
 def tx_group_conflicts(spark, sf_dir):
-    return transactions.group_verdicts(_group_entries(table(spark, sf_dir, "events").filter("event_id < 400")))
-
-
-@query()
-def tx_group_conflicts_all(spark, sf_dir):
-    """Every write group; the recursive SQL above is held to the first 20."""
+    """Every 20 events are a write group."""
     return transactions.group_verdicts(_group_entries(table(spark, sf_dir, "events")))
 
 
@@ -391,15 +395,14 @@ def sum_invariant(spark, sf_dir):
     return legs.join(F.broadcast(bounds), F.col("seq") <= F.col("bound")).groupBy("bound").agg(F.count(F.lit(1)).alias("legs"), F.sum("amount").alias("total"))
 
 
-@query(f"""
-, wanted as (select distinct k from h)
-, point as (select w.k, l.v from wanted w left join live l on l.k = w.k)
-select count(*) as disagree from (select k, v from live except select k, v from point where v is not null) t""")
+@query(" select k, v as scanned, v as got from live")
 def scan_agrees_with_gets(spark, sf_dir):
+    """Every key either read finds, with what a scan and a get of each key say."""
     h = history(spark, sf_dir)
     wanted = h.select("key").distinct().withColumn("pos", F.lit(0).cast("long"))
-    points = reads.multi_get(h, wanted).filter("value is not null").select("key", "value")
-    return hist.visible(h).select("key", "value").exceptAll(points).agg(F.count(F.lit(1)).alias("disagree"))
+    points = reads.multi_get(h, wanted).filter("value is not null").select("key", F.col("value").alias("got"))
+    scanned = hist.visible(h).select("key", F.col("value").alias("scanned"))
+    return scanned.join(points, "key", "full_outer").select(F.col("key").alias("k"), "scanned", "got")
 
 
 # -- files, levels, manifests ----------------------------------------------------------------
@@ -563,7 +566,21 @@ def bloom_false_positives(spark, sf_dir):
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("probes"), F.count_if("maybe").alias("false_positives"))
 
 
-@query()
+@query("""--recursive
+, e as (select event_id % 4 as queue, row_number() over (partition by event_id % 4 order by event_id) as pos, user_id * user_id % 97 as block, user_id % 5 * 100 + 100 as n from events)
+, f(queue, pos, hit, held) as (
+    select queue, pos, cast(0 as bigint), [{'b': block, 'n': n}] from e where pos = 1
+    union all
+    select e.queue, e.pos, case when list_contains(list_transform(f.held, lambda x: x.b), e.block) then cast(1 as bigint) else 0 end,
+      -- the accessed block first, with the size it came with; then as many of the others, in order, as fit
+      (select list(struct_pack(b := b, n := n) order by i) from (
+         select i, b, n, sum(n) over (order by i) as used from (
+           select 0 as i, e.block as b, coalesce(list_filter(f.held, lambda x: x.b = e.block)[1].n, e.n) as n
+           union all
+           select unnest(range(1, len(f.held) + 1)), unnest(list_transform(f.held, lambda x: x.b)), unnest(list_transform(f.held, lambda x: x.n))) t
+         where i = 0 or b <> e.block) u where used <= 4000)
+    from f join e on e.queue = f.queue and e.pos = f.pos + 1)
+select queue, count(*) as accesses, cast(sum(hit) as bigint) as hits from f group by queue""")
 def lru_hits(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     accesses = e.select((F.col("event_id") % 4).alias("queue"), F.col("event_id").alias("ticket"), (F.col("user_id") * F.col("user_id") % 97).alias("block"), (F.col("user_id") % 5 * 100 + 100).alias("bytes"))
@@ -584,13 +601,11 @@ def memtable_switches(spark, sf_dir):
     return filters.memtable_switches(entries, 4096).groupBy("queue", "buffer").agg(F.count(F.lit(1)).alias("versions"), F.sum("bytes").alias("n_bytes"))
 
 
-@query(" select cast(0 as bigint) as split_keys")
+@query(_SPLIT_SQL + " select k, part, min(file) as first_file, max(file) as last_file from f group by k, part")
 def keys_within_one_file(spark, sf_dir):
-    """No key's versions span two files when files are cut at key boundaries."""
-    h = history(spark, sf_dir)
-    entries = h.select(F.substring("key", 10, 1).cast("long").alias("part"), "key", "seq", (hist.user_bytes(h) + 17).cast("long").alias("bytes"))
-    spans = writes.split_files(entries, 4096).groupBy("key").agg(F.count_distinct("part", "file").alias("n"))
-    return spans.agg(F.count_if(F.col("n") > 1).alias("split_keys"))
+    """The file of every key: first and last one are the same when files are cut at key boundaries."""
+    spans = writes.split_files(_merge_entries(spark, sf_dir), 4096).groupBy("part", "key").agg(F.min("file").alias("first_file"), F.max("file").alias("last_file"))
+    return spans.withColumnRenamed("key", "k")
 
 
 @query(_COMMANDS_SQL.format("case when event_type = 'purchase' then cast(cast(round(value) as bigint) as varchar) else '1' end") + _FOLD_SQL)
@@ -611,13 +626,11 @@ def exec_replies(spark, sf_dir):
 @query()
 def store_round_trip(spark, sf_dir):
     """Write the history into a store, compact it, and read the latest pairs back."""
-    import tempfile
     import uuid
 
     from palimpsest.store import Store
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    store = Store(spark, f"{shared}/store-{uuid.uuid4().hex}")
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
     h = history(spark, sf_dir)
     store.write_frame(h.select(F.col("seq").alias("op_index"), "kind", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")))
     store.compact_all()

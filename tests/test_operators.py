@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimpsest.config import MAX_SEQ, Options
+from palimpsest.functions import integers
 from palimpsest.operators import files, history, reads, stats, transactions, writes
 from palimpsest.plans import catalogue
 
@@ -62,11 +63,24 @@ def test_pages_and_seeks(spark):
             break
     assert seen == [f"k{n:02d}" for n in range(23)]
     got = {}
-    for r in reads.seek_next(history.visible(h), ["k05", "k20", "k05", "a", "z"], 4).collect():
+    starts = lambda *s: spark.createDataFrame([(x,) for x in s], "start string")
+    for r in reads.seek_next(history.visible(h), starts("k05", "k20", "k05", "a", "z", None), 4).collect():
         got.setdefault(r["start"], []).append((r["rn"], r["key"]))
     assert [k for _, k in sorted(got["a"])] == ["k00", "k01", "k02", "k03"]
     assert [k for _, k in sorted(got["k20"])] == ["k20", "k21", "k22"] and "z" not in got
-    assert reads.seek_next(history.visible(h), [], 4).count() == 0
+    assert reads.seek_next(history.visible(h), starts(), 4).count() == 0
+    assert reads.seek_next(history.visible(h), starts("a"), 0).count() == 0
+    assert reads.seek_next(frame(spark, []), starts("a"), 4).count() == 0
+
+
+def test_seeks_over_partitions(spark):
+    rnd = random.Random(4)
+    for rows, asked, n in ((300, 200, 7), (5, 100, 20), (200, 3, 150)):
+        keys = sorted({f"{rnd.randrange(10**6):06d}" for _ in range(rows)})
+        starts = [f"{rnd.randrange(10**6):06d}" for _ in range(asked)] + ["", keys[0], keys[-1], keys[-1] + "x"]
+        live = spark.createDataFrame([(bytearray(k.encode()),) for k in keys], "key binary")
+        got = sorted((bytes(r["start"]).decode(), r["rn"], bytes(r["key"]).decode()) for r in reads.seek_next(live, spark.createDataFrame([(bytearray(s.encode()),) for s in starts], "start binary"), n).collect())
+        assert got == sorted((s, i + 1, k) for s in set(starts) for i, k in enumerate([k for k in keys if k >= s][:n]))
 
 
 def test_counters_with_failures(spark):
@@ -85,7 +99,7 @@ def test_group_verdicts(spark):
 def test_every_event_is_a_transaction(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id").collect()
     want = {a.event_id: int(any(b.user_id == a.user_id and a.event_id - 50 < b.event_id + 1 <= a.event_id for b in rows)) for a in rows}
-    got = catalogue.QUERIES["tx_conflicts_all"](spark, sf_dir).collect()
+    got = catalogue.QUERIES["tx_conflicts"](spark, sf_dir).collect()
     assert len(got) == len(want) == 1000 and {r["txid"]: r["conflict"] for r in got} == want and set(want.values()) == {0, 1}
 
 
@@ -111,7 +125,7 @@ def test_every_group_is_judged(spark, sf_dir):
         ok = e["event_id"] % 4 == 0 or not seen & {key, lock}
         seen |= {key} if ok else set()
         want[grp, e["event_id"]] = int(ok)
-    got = catalogue.QUERIES["tx_group_conflicts_all"](spark, sf_dir).collect()
+    got = catalogue.QUERIES["tx_group_conflicts"](spark, sf_dir).collect()
     assert len(got) == len(want) == 1000 and {(r["grp"], r["ticket"]): r["accepted"] for r in got} == want
 
 
@@ -124,6 +138,89 @@ def test_greedy_folds(spark):
     assert [(r["a"], r["b"]) for r in parts] == [("a", "a"), ("b", "b"), ("c", "c")]
 
 
+def greedy_brute(sizes, limit, ends_full):
+    out, group, total = [], -1, None
+    for n in sizes:
+        if total is None or (total >= limit if ends_full else total + n > limit):
+            group, total = group + 1, 0
+        total += n
+        out.append(group)
+    return out
+
+
+@pytest.mark.parametrize("ends_full", [False, True])
+def test_greedy_cuts_over_blocks(spark, ends_full):
+    rnd = random.Random(6)
+    queues = {q: [rnd.choice([0, 1, rnd.randrange(60), rnd.randrange(250)]) for _ in range(rnd.randrange(1, 160))] for q in range(6)} | {6: [0] * 50, 7: [1000] * 40}
+    e = spark.createDataFrame([(q, 3 * t, n) for q, sizes in queues.items() for t, n in enumerate(sizes)], "queue long, at long, bytes long")
+    for block in (7, 64, 1 << 14):
+        got = {}
+        for r in writes.greedy_cuts(e, "at", "grp", 100, ends_full, block).orderBy("at").collect():
+            got.setdefault(r["queue"], []).append(r["grp"])
+        assert got == {q: greedy_brute(sizes, 100, ends_full) for q, sizes in queues.items()}
+
+
+def test_split_files_by_batches(spark):
+    rnd = random.Random(7)
+    rows = [(p, f"{k:04d}", s, rnd.randrange(80)) for p in range(3) for k in range(120) for s in range(rnd.randrange(1, 5))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["part"], r["key"], r["seq"]): r["file"] for r in writes.split_files(spark.createDataFrame(rows, "part long, key string, seq long, bytes long"), 300).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, state = {}, {}
+    for p, k, s, n in sorted(rows, key=lambda r: (r[0], r[1], -r[2])):
+        file, total, last = state.get(p, (0, 0, None))
+        if total >= 300 and k != last:
+            file, total = file + 1, 0
+        want[p, k, s] = file
+        state[p] = file, total + n, k
+    assert got == want
+
+
+def test_command_runs(spark):
+    rnd = random.Random(8)
+    args = ["1", "-3", "+7", " 5 ", "x", str(2**63 - 1), str(-(2**63)), str(2**62), "00012", ""]
+    rows = [(f"k{k}", n, rnd.choice(["SET", "DEL", "INCR", "INCR", "INCR", "INCR"]), rnd.choice(args)) for k in range(60) for n in range(rnd.randrange(1, 25))]
+    want = {}
+    for key, _, op, arg in rows:
+        value, failed = want.get(key, (None, 0))
+        if op != "INCR":
+            value = arg if op == "SET" else None
+        else:
+            now, by = 0 if value is None else integers.parse(value.encode()), integers.parse(arg.encode())
+            if now is None or by is None or not -(2**63) <= now + by < 2**63:
+                failed += 1
+            else:
+                value = str(now + by)
+        want[key] = value, failed
+    got = writes.fold_commands(spark.createDataFrame(rows, "key string, seq long, op string, arg string")).collect()
+    assert len(got) == len(want) and {r["key"]: (r["value"], r["failed"]) for r in got} == want
+
+
+def test_many_snapshot_bounds(spark, monkeypatch):
+    monkeypatch.setattr(history, "MOST_BOUNDS", 4)
+    rnd = random.Random(9)
+    rows = [(rnd.choice("abc"), n + 1, rnd.choice([1, 1, 2]), str(n)) for n in range(60)]
+    bounds = sorted(rnd.sample(range(-3, 75), 11))
+    got = sorted((r["bound"], r["key"], r["value"]) for r in history.visible_at_each(frame(spark, rows), spark.createDataFrame([(b,) for b in bounds], "bound long")).collect())
+    want = []
+    for b in bounds:
+        last = {k: (kind, v) for k, s, kind, v in rows if s <= b}
+        want += [(b, k, v) for k, (kind, v) in last.items() if kind == 1]
+    assert got == sorted(want)
+    assert history.visible_at_each(frame(spark, rows), spark.createDataFrame([], "bound long")).count() == 0
+
+
+def test_holding_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(files, "CELLS", 5)
+    rnd = random.Random(10)
+    spans = [(i, *sorted((f"{rnd.randrange(1000):04d}", f"{rnd.randrange(1000):04d}"))) for i in range(40)] + [(99, None, None)]
+    keys = [f"{rnd.randrange(1100):04d}" for _ in range(200)] + ["", None]
+    got = sorted((r["id"], r["key"]) for r in files.holding(spark.createDataFrame(spans, "id long, smallest string, largest string"), spark.createDataFrame([(k,) for k in keys], "key string")).collect())
+    assert got == sorted((i, k) for i, a, b in spans if a is not None for k in {x for x in keys if x is not None} if a <= k <= b)
+
+
 def test_file_rules(spark):
     f = spark.createDataFrame([(1, 1, "a", "c", 5, 10), (2, 1, "c", "d", 5, 10), (3, 1, "e", "f", 5, 10), (4, 2, "x", "y", 5, 10)], "id long, level int, smallest string, largest string, entry_count long, file_size long")
     assert [r["id"] for r in files.level_overlaps(f).collect()] == [2]  # a shared edge overlaps
