@@ -19,7 +19,15 @@ PUT, DELETE, BATCH = 1, 2, 3
 
 @dataclass(frozen=True)
 class Options:
-    """Knobs of a store; none of them changes what a read returns."""
+    """Knobs of a store; none of them changes what a read returns.
+
+    ``memtable_bytes``: committed versions held on the driver before they become a
+    file.  ``bloom_bits_per_key``: key filters of files, 0 for none.
+    ``block_cache_bytes``: results of point lookups held, 0 for none.  ``sync``:
+    "always" makes every group of writes durable before it is acknowledged,
+    "periodic" within ``sync_ms``.  ``checkpoint_every``: commits between two
+    checkpoints of the log; ``vacuum`` keeps ``retain_versions`` commits before one.
+    """
 
     memtable_bytes: int = 4 << 20
     l0_compaction_trigger: int = 4
@@ -31,6 +39,8 @@ class Options:
     bloom_bits_per_key: int = 10
     block_cache_bytes: int = 8 << 20
     sync: str = "always"
+    sync_ms: int = 100
+    checkpoint_every: int = 128
     retain_versions: int = 10
 
     def __post_init__(self):
