@@ -39,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the remaining documents into training sequences: one row per piece."""
-    pieces = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), memo=900_000)  # executors also hold the other stages' memory
+    pieces = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), memo=700_000)  # executors also hold the other stages' memory
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 

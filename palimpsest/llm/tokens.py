@@ -43,6 +43,15 @@ def load(path: str):
     return tokenizer
 
 
+def _holes(known: list) -> list[int]:
+    """Places of None, found without a step per place."""
+    out, at = [], -1
+    for _ in range(known.count(None)):
+        at = known.index(None, at + 1)
+        out.append(at)
+    return out
+
+
 def _whole(pieces) -> bool:
     """Whether a quick cut gave pieces that stand alone (no white space runs)."""
     return all([(core := p.strip()) and len(p) - len(core) == (p[0] in " \n") for p in pieces])
@@ -60,6 +69,8 @@ class PieceEncoder:
         self.tokenizer, self.limit, self.longest = load(path), limit, longest
         self.memo: dict[str, bytes] = {"": b""}
         self.missed = 0
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # the memo is the cache; the library's only costs time
         normal = self.tokenizer.normalizer
         self.folds = normal is not None and normal.normalize_str("Ab") == "ab"
         self.mark = array("I", self.tokenizer.encode(MARK, add_special_tokens=False).ids)
@@ -93,20 +104,27 @@ class PieceEncoder:
                 text = text.lower()
             pieces = [] if MARK[-1] in text or "\0" in text else text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             known = list(map(get, pieces))
-            new = dict.fromkeys([p for p, ids in zip(pieces, known, strict=True) if ids is None]) if None in known else {}
+            holes = _holes(known)
+            new = [pieces[k] for k in holes]
             if not pieces or not _whole(new):  # runs of white space: the careful cut
                 pieces = PIECE.findall(text)
                 known = list(map(get, pieces))
-                odd.update(dict.fromkeys([p for p, ids in zip(pieces, known, strict=True) if ids is None]))
+                holes = _holes(known)
+                new = [pieces[k] for k in holes]
+                odd.update(dict.fromkeys(new))
             else:
-                plain.update(new)
-            cut.append((pieces, known))
+                plain.update(dict.fromkeys(new))
+            cut.append((known, holes, new))
         first = [p for p in plain if p[0] not in " \n"]
         missing = self._joined([p for p in plain if p[0] in " \n"]) | dict(zip(first, self.library(first), strict=True))
         kept = {p: ids for p, ids in missing.items() if len(p) <= self.longest}
         alone = [p for p in odd if p not in missing]
         missing |= dict(zip(alone, self.library(alone), strict=True))
-        out = [b"".join([missing[p] if ids is None else ids for p, ids in zip(pieces, known, strict=True)]) if None in known else b"".join(known) for pieces, known in cut]
+        out = []
+        for known, holes, new in cut:
+            for k, p in zip(holes, new, strict=True):
+                known[k] = missing[p]
+            out.append(b"".join(known))
         if len(self.memo) + len(kept) <= self.limit:
             self.memo.update(kept)
         elif (missed := self.missed + len(kept)) > self.limit:
