@@ -220,8 +220,9 @@ def rules() -> list[tuple[int, str, str, str]]:
 
 
 def normal_words(text: Column) -> Column:
-    """``" w0 w1 ... "``: lower-case words with one space around each, or ``" "``."""
-    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
+    """``" w0 w1 ... "``: words with A-Z lower-cased and one space around each, or ``" "``."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    spaced = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), NOT_WORD, " "))
     return F.when(spaced == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), spaced, F.lit(" ")))
 
 
@@ -229,24 +230,46 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
+#: Items of an array folded at a time: appending to a list costs its length.
+BLOCK = 128
+
+
+def _walked(items: Column, start: Column, kind: str, step) -> Column:
+    """A fold over an array that gives a list, in time near its length.
+
+    ``step(state, item)`` returns the new state and an array of none or one element of
+    type ``kind``.  Elements are gathered block by block, and the blocks joined at last.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def cut(held):
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(held) / BLOCK).cast("int")), lambda n: F.slice(held, n * BLOCK + 1, F.lit(BLOCK)))
+
+    blocks = F.element_at(F.transform(F.array(items), cut), 1)  # the array is made once, not once a block
+
+    def inside(acc, item):
+        state, element = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["own"], element).alias("own"), acc["done"].alias("done"))
+
+    def block(acc, part):
+        begin = F.struct(acc["state"].alias("state"), empty.alias("own"), acc["done"].alias("done"))
+        return F.aggregate(part, begin, inside, lambda a: F.struct(a["state"].alias("state"), F.array_append(a["done"], a["own"]).alias("done")))
+
+    whole = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+    return F.aggregate(blocks, whole, block, lambda a: F.flatten(a["done"]))
+
+
 def _intervals(norm: Column, rule: Column) -> Column:
     """All matches of one rule as ``(start, end, rank, label)`` in characters."""
     regex = F.concat(F.lit("(?<= )(?:"), rule["regex"], F.lit(")(?= )"))
     gaps, found = F.split(norm, regex, F.lit(-1)), F.regexp_extract_all(norm, regex, F.lit(0))
-    lengths = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own")))
-    empty = F.lit(None).cast("array<struct<s:int,e:int,rank:int,label:string>>")
-    walk = F.aggregate(
-        F.filter(lengths, lambda x: x["own"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<s:int,e:int,rank:int,label:string>>")).alias("hits")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["own"]).alias("at"),
-            F.array_append(
-                acc["hits"],
-                F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + x["own"]).alias("e"), rule["rank"].alias("rank"), rule["label"].alias("label")),
-            ).alias("hits"),
-        ),
-    )
-    return walk["hits"]
+    lengths = F.filter(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own"))), lambda x: x["own"].isNotNull())
+
+    def step(at, x):
+        s, e = at + x["gap"], at + x["gap"] + x["own"]
+        return e, F.array(F.struct(s.alias("s"), e.alias("e"), rule["rank"].alias("rank"), rule["label"].alias("label")))
+
+    return _walked(lengths, F.lit(0), "struct<s:int,e:int,rank:int,label:string>", step)
 
 
 def _surviving(hits: Column) -> Column:
@@ -256,15 +279,13 @@ def _surviving(hits: Column) -> Column:
     in an earlier one exactly if the furthest end so far reaches its own end.
     """
     ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["s"].alias("s"), (-h["e"]).alias("back"), h["rank"].alias("rank"), h["label"].alias("label"))))
-    kind = "array<struct<rank:int,label:string,s:int,e:int>>"
-    return F.aggregate(
-        ordered,
-        F.struct(F.lit(-1).alias("far"), F.array().cast(kind).alias("kept")),
-        lambda acc, h: F.when(-h["back"] <= acc["far"], acc).otherwise(
-            F.struct((-h["back"]).alias("far"), F.array_append(acc["kept"], F.struct(h["rank"].alias("rank"), h["label"].alias("label"), h["s"].alias("s"), (-h["back"]).alias("e"))).alias("kept"))
-        ),
-        lambda acc: acc["kept"],
-    )
+    kind = "struct<rank:int,label:string,s:int,e:int>"
+
+    def step(far, h):
+        own = F.struct(h["rank"].alias("rank"), h["label"].alias("label"), h["s"].alias("s"), (-h["back"]).alias("e"))
+        return F.greatest(far, -h["back"]), F.when(-h["back"] > far, F.array(own)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return _walked(ordered, F.lit(-1), kind, step)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
