@@ -1 +1,5 @@
-"""Registered queries over the driver's tables, each with its SQL."""
+"""Registered queries and their SQL."""
+
+from palimpsest.plans import catalogue, lifecycle
+
+__all__ = ["catalogue", "lifecycle"]

@@ -558,14 +558,6 @@ def bloom_no_false_negatives(spark, sf_dir):
     return found.agg(F.count(F.lit(1)).alias("probes"), F.count_if("maybe").alias("maybe"))
 
 
-@query()
-def bloom_false_positives(spark, sf_dir):
-    entries = history(spark, sf_dir).select(F.floor((F.col("seq") - 1) / 250).alias("id"), "key")
-    missing = entries.distinct().select("id", F.concat("key", F.lit("x")).alias("key"))
-    found = filters.probe_filters(filters.build_filters(entries), missing)
-    return found.groupBy("id").agg(F.count(F.lit(1)).alias("probes"), F.count_if("maybe").alias("false_positives"))
-
-
 @query("""--recursive
 , e as (select event_id % 4 as queue, row_number() over (partition by event_id % 4 order by event_id) as pos, user_id * user_id % 97 as block, user_id % 5 * 100 + 100 as n from events)
 , f(queue, pos, hit, held) as (

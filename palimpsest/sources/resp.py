@@ -9,7 +9,7 @@ from __future__ import annotations
 from palimpsest.errors import ProtocolError
 from palimpsest.shipping import ship
 
-# Fixed values of the protocol: limits on one request.
+# Fixed values of the protocol: limits on one request, and the texts of its errors below.
 MAX_BULK, MAX_ARGS, MAX_LINE = 64 << 20, 1 << 20, 64 << 10
 
 NIL, NIL_ARRAY = ("nil", None), ("nil_array", None)
@@ -115,6 +115,15 @@ def request(*args: bytes) -> bytes:
     return b"*%d\r\n" % len(args) + b"".join(b"$%d\r\n%s\r\n" % (len(a), a) for a in args)
 
 
+def bulk_column(value):
+    """The reply to a get as a column: a bulk string of the value's bytes, or nil."""
+    from pyspark.sql import functions as F
+
+    body = value.cast("binary")
+    whole = F.concat(F.encode(F.concat(F.lit("$"), F.octet_length(body).cast("string"), F.lit("\r\n")), "UTF-8"), body, F.encode(F.lit("\r\n"), "UTF-8"))
+    return F.coalesce(whole, F.encode(F.lit("$-1\r\n"), "UTF-8"))
+
+
 def commands(requests):
     """Parse a frame ``id, data`` of complete request streams: ``id, pos, name, args``."""
 

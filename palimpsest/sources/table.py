@@ -183,3 +183,24 @@ def files(history: DataFrame, parts: int, block_bytes: int = BLOCK_BYTES, bloom_
     ship(history.sparkSession)
     rows = history.select(F.col("key").cast("binary").alias("key"), "seq", F.col("kind").cast("int").alias("kind"), F.col("value").cast("binary").alias("value"))
     return rows.repartitionByRange(parts, "key").sortWithinPartitions("key", F.desc("seq")).mapInPandas(run, "part int, content binary")
+
+
+def lookup(spark: SparkSession, path: str, keys: list[bytes], at: int) -> DataFrame:
+    """What a get of each key up to ``at`` finds in each table file under ``path``:
+    ``file, key, seq, kind, value``, rows only where it finds a version.
+
+    A file is read by filter, index and one block a key; the keys are one request.
+    """
+    wanted = sorted(set(map(bytes, keys)))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                table = Table(bytes(content))
+                rows = [(name, k, found[0], 1 if found[1] is not None else 2, found[1]) for k in wanted if (found := table.get(k, at)) is not None]
+                yield pd.DataFrame(rows, columns=["file", "key", "seq", "kind", "value"])
+
+    ship(spark)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
