@@ -289,6 +289,30 @@ def test_frame_above_unflushed_versions(spark, tmp_path):
     assert not [n for n in store.files.list("data") if n.startswith("staged")]
 
 
+def test_plain_scans_after_a_full_compaction(spark, tmp_path):
+    store, model, rnd = Store(spark, str(tmp_path / "s"), Options(memtable_bytes=200, target_file_bytes=150)), {}, random.Random(5)
+    for _ in range(40):
+        batch = random_batch(rnd)
+        store.write(batch)
+        model = after(model, batch)
+    store.compact_all()
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    assert len(store.state.files) > 1 and "Window" not in plan(store.scan()) and "Exchange" not in plan(store.scan())
+    assert pairs(store.scan()) == model
+    wanted = spark.createDataFrame([(n, bytearray(b"k%03d" % (n % 40))) for n in range(80)], "pos long, key binary")
+    look = lambda: {r["pos"]: r["value"] and bytes(r["value"]) for r in store.multi_get_frame(wanted).collect()}
+    assert look() == {n: model.get(b"k%03d" % (n % 40)) for n in range(80)}
+    store.put(b"k000", b"again")  # now versions need a choice
+    assert "Window" in plan(store.scan()) and pairs(store.scan()) == model | {b"k000": b"again"} and look()[0] == b"again"
+    with store.snapshot():
+        store.put(b"k001", b"x"), store.put(b"k001", b"y")
+        store.compact_all()
+        assert pairs(store.scan()) == model | {b"k000": b"again", b"k001": b"y"}
+    again = Store(spark, store.path)
+    again.compact_all()
+    assert pairs(again.scan()) == model | {b"k000": b"again", b"k001": b"y"}
+
+
 def test_raw_round_trip(spark, tmp_path):
     rnd, model = random.Random(3), {}
     store = Store(spark, str(tmp_path / "s"), Options(memtable_bytes=400))
