@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_dir() -> str:
+    """A folder of this process that goes with it."""
+    made = tempfile.mkdtemp(prefix="palimpsest-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder driver and executors share: ``spark.checkpoint.dir``.
 
-    Where that setting is absent, one is made up for a local master only, where driver
-    and executors are one process.
+    Where that setting is absent, as in tests, a local master gets a folder of its own:
+    driver and executors are one process there.  On a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-shared"
+    return _own_dir()
 
 
 def settled(df: DataFrame) -> DataFrame:
