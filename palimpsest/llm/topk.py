@@ -304,6 +304,7 @@ def top_k(
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[best.q]), part.column(5).take(pa.array(best.q)), pa.array(best.i), pa.array(best.s.astype(np.int64))], names=["query_id", "vector", "vec_id", "score"])
 
     planted = trees.select("cell", "sub")  # two numbers per shard of thousands of vectors
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, planted.count()))
     asking = dealt.filter(F.col("id") % query_every == 0).select(F.col("id").alias("query_id"), "vector").distinct()
     found = None
     for first, last in ROUNDS:
@@ -317,8 +318,9 @@ def top_k(
             floors = asking.join(low, ["query_id", "vector"], "left").select("query_id", "vector", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
         met = floors.mapInArrow(visits((first, last)), "query_id long, vector binary, floor double, cell int")
         met = written(met.join(planted, "cell"), "visits")
-        # a shard that many queries visit is searched in several places
-        blocks = met.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+        # a shard that many queries visit is searched in several places, up to one per task
+        share = F.least(F.lit(block_rows), F.greatest(F.lit(LEAF), F.ceil(F.count(F.lit(1)) / tasks)))
+        blocks = met.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("blocks"))
         placed = met.join(blocks, ["cell", "sub"]).withColumn("block", F.pmod(F.xxhash64("query_id", "vector"), F.col("blocks")).cast("int"))
         stored = trees.join(blocks, ["cell", "sub"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         columns = lambda kind, ident, blob, floor: ["cell", "sub", "block", F.lit(kind).cast("byte").alias("kind"), ident.alias("ident"), F.col(blob).alias("blob"), floor.alias("floor")]
