@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import DELETE, PUT
 
+#: Key ranges of files that are broadcast at most.
+MOST_RANGES = 1 << 14
 #: Snapshot bounds that one expression searches.
 MOST_BOUNDS = 256
 
@@ -88,13 +90,21 @@ def compacted(history: DataFrame, oldest: int, deeper: DataFrame | None = None)
 
     An old deletion goes if no file of a deeper level has a key range covering its
     key.  ``deeper`` holds those files' ``smallest, largest``; None means the
-    bottom level.
+    bottom level.  Their merged ranges are broadcast while they are few, and meet the
+    old deletions by cells of the key space beyond that.
     """
     stay = kept(history, oldest).drop("newer")
     old_delete = (F.col("kind") == DELETE) & (F.col("seq") <= oldest)
     if deeper is None:
         return stay.filter(~old_delete)
-    covered = stay.filter(old_delete).join(F.broadcast(merged_ranges(deeper)), F.col("key").between(F.col("smallest"), F.col("largest")), "left_semi")
+    deleted = stay.filter(old_delete)
+    if deeper.limit(MOST_RANGES + 1).count() <= MOST_RANGES:
+        covered = deleted.join(F.broadcast(merged_ranges(deeper)), F.col("key").between(F.col("smallest"), F.col("largest")), "left_semi")
+    else:
+        from palimpsest.operators.files import holding
+
+        ranges = deeper.select(F.lit(0).alias("id"), "smallest", "largest")
+        covered = deleted.join(holding(ranges, deleted).select("key").distinct(), "key", "left_semi")
     return stay.filter(~old_delete).unionByName(covered)
 
 

@@ -34,6 +34,18 @@ def test_shadowed_rule(spark):
     assert keyseq(history.compacted(h, 3)) == keyseq(history.kept(h, 3))  # too young to go
 
 
+def test_compacted_over_many_ranges(spark, monkeypatch):
+    rnd = random.Random(11)
+    rows = [(f"{rnd.randrange(40):02d}", n + 1, rnd.choice([1, 2]), None) for n in range(120)]
+    spans = [tuple(sorted((f"{rnd.randrange(45):02d}", f"{rnd.randrange(45):02d}"))) for _ in range(4)]
+    deep = spark.createDataFrame(spans, "smallest string, largest string")
+    want = keyseq(history.compacted(frame(spark, rows), 80, deep))
+    monkeypatch.setattr(history, "MOST_RANGES", 2)
+    assert keyseq(history.compacted(frame(spark, rows), 80, deep)) == want
+    gone = {k for k, *_ in keyseq(history.kept(frame(spark, rows), 80))} - {k for k, _ in want}
+    assert gone and all(not a <= k <= b for k in gone for a, b in spans)
+
+
 def test_visible_bounds(spark):
     h = frame(spark, [("a", 3, 1, "3"), ("a", 5, 2, None), ("a", 8, 1, "8"), ("", 1, 1, "")])
     look = lambda at: {r["key"]: r["value"] for r in history.visible(h, at).collect()}
