@@ -202,3 +202,49 @@ def test_crc_of_ids_is_over_little_endian_words(spark):
 
     body = packed([1, 70000, 2])
     assert spark.createDataFrame([(bytearray(body),)], "ids binary").select(F.crc32("ids")).first()[0] == zlib.crc32(body)
+
+
+def test_op7_query(spark, sf_dir):
+    from palimpsest.llm.queries import queries
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    want = {r["doc_id"]: ids + [1] for r, ids in zip(rows, library(WORD, [r["text"] for r in rows]))}
+    docs, sequences = defaultdict(list), defaultdict(list)
+    for p in queries()["op7_packing"](spark, sf_dir).collect():
+        ids = want[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        assert len(ids) == p["length"] > 0 and p["doc_tokens"] == len(want[p["doc_id"]])
+        assert p["ids_crc32"] == zlib.crc32(packed(ids))
+        docs[p["doc_id"]].append((p["start"], p["length"]))
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+    assert docs.keys() == want.keys()
+    for own, whole in [(docs[i], len(x)) for i, x in want.items()] + [(s, None) for s in sequences.values()]:
+        at = 0
+        for start, length in sorted(own):
+            assert start == at
+            at += length
+        assert at <= 2048 if whole is None else at == whole
+
+
+def test_op8_query(spark, sf_dir):
+    from palimpsest.llm.queries import queries
+
+    rows = sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").collect(), key=lambda r: r["doc_id"])
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries()["op8_token_store"](spark, sf_dir).collect()}
+    at = 0
+    assert len(got) == len(rows)
+    for r, ids in zip(rows, library(BYTE, [r["text"] for r in rows])):
+        ids = ids + [0]
+        assert got[r["doc_id"]] == (at, len(ids), zlib.crc32(packed(ids)))
+        at += len(ids)
+
+
+def test_chunks_of_neighbours_are_encoded_once():
+    """Documents that share a passage, one after the other: it is found in the memo."""
+    rnd = random.Random(12)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared = words(2000)
+    enc = bpe_chunks.ChunkEncoder(BYTE)
+    for k in range(6):
+        text = words(50) + " " + shared + " " + words(50)
+        assert [list(x) for x in enc.encode([text.encode()])] == library(BYTE, [text])
+    assert enc.reused > 0.6 * (enc.reused + enc.encoded)
