@@ -7,6 +7,12 @@ Of two keys one bit apart exactly one has that bit clear; only clear bits are
 flipped, which finds every pair once with half the probes.  Complete distances
 are verified in the join, over distinct fingerprints only, and linked fingerprints
 are merged by :mod:`components`.
+
+Many near copies of one text make a dense cluster, with a number of close pairs near
+the square of its fingerprints.  Fingerprints one bit apart are therefore merged first:
+they agree once that bit is cleared, and no other fingerprint does, so that takes 64
+rows a fingerprint.  The multi-index join then only gives pairs of different classes,
+reduced to one a pair of classes before they leave a task.
 """
 
 from __future__ import annotations
@@ -65,20 +71,30 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return rows.mapInArrow(run, "doc_id long, digest long, fp long")
 
 
+def neighbours(distinct: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of distinct fingerprints ``fp`` exactly one bit apart."""
+    bits = F.expr("transform(sequence(0, 63), i -> struct(cast(i as byte) as bit, fp & ~shiftleft(1L, i) as rest))")
+    met = distinct.select("fp", F.explode(bits).alias("k")).groupBy("k.bit", "k.rest").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
+    return met.filter("a <> b").select("a", "b")
+
+
 def links(distinct: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of distinct fingerprints ``fp`` at most three bits apart."""
+    """Pairs ``(a, b)`` of classes, the columns ``fp`` and ``label`` of distinct
+    fingerprints, that hold fingerprints at most three bits apart."""
     halves = distinct.select(
-        "fp", F.posexplode(F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))).alias("half", "part")
+        "fp", "label", F.posexplode(F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))).alias("half", "part")
     )
     space = F.shiftleft(F.col("half").cast("long"), 32)
-    stored = halves.select((space + F.col("part")).alias("key"), F.col("fp").alias("b"))
+    stored = halves.select((space + F.col("part")).alias("key"), F.col("fp").alias("b"), F.col("label").alias("lb"))
     ball = F.expr("filter(transform(sequence(0, 32), i -> if(i = 32, part, part | shiftleft(1L, i))), (k, i) -> i = 32 or k <> part)")
-    probes = halves.select("fp", space.alias("space"), "part", F.explode(ball).alias("near")).select(
-        (F.col("space") + F.col("near")).alias("key"), F.col("fp").alias("a"), (F.col("near") == F.col("part")).alias("same")
+    probes = halves.select("fp", "label", space.alias("space"), "part", F.explode(ball).alias("near")).select(
+        (F.col("space") + F.col("near")).alias("key"), F.col("fp").alias("a"), F.col("label").alias("la"), (F.col("near") == F.col("part")).alias("same")
     )
-    close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE) & (~F.col("same") | (F.col("a") < F.col("b")))
+    apart = (F.col("la") != F.col("lb")) & (~F.col("same") | (F.col("a") < F.col("b")))
+    close = apart & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
     # sizes before explode() mislead the planner: never broadcast either side
-    return probes.join(stored.hint("merge"), (probes["key"] == stored["key"]) & close).select("a", "b").distinct()
+    met = probes.join(stored.hint("merge"), (probes["key"] == stored["key"]) & close)
+    return met.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,8 +113,10 @@ def _grouped(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
     """``doc_id, digest, fp, component_id`` of every row."""
     fps = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    label = components(links(first.select("fp")))
-    merged = first.join(label, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    near = components(neighbours(first.select("fp")))
+    classes = written(first.join(near, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("label")), "classes")
+    label = components(links(classes))
+    merged = classes.join(label, F.col("label") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "label").alias("component"))
     least = merged.groupBy("component").agg(F.min("first").alias("component_id"))
     named = merged.join(least, "component").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "digest", "fp", "component_id")

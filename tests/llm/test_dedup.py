@@ -125,8 +125,26 @@ def test_links_find_every_close_pair(spark):
     base = [rnd.getrandbits(64) for _ in range(12)]
     prints = {f ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(6))) for f in base for _ in range(25)} | {0, 1, 7, (1 << 64) - 1, 1 << 63, 0xFFFFFFFF}
     signed = lambda f: f - (1 << 64) if f >> 63 else f
-    got = {frozenset((r["a"], r["b"])) for r in simhash.links(spark.createDataFrame([(signed(f),) for f in prints], "fp long")).collect()}
+    distinct = spark.createDataFrame([(signed(f), signed(f)) for f in prints], "fp long, label long")  # every one a class of its own
+    got = {frozenset((r["a"], r["b"])) for r in simhash.links(distinct).collect()}
     assert got == {frozenset((signed(a), signed(b))) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3}
+    got = {frozenset((r["a"], r["b"])) for r in simhash.neighbours(distinct).collect()}
+    assert got == {frozenset((signed(a), signed(b))) for a in prints for b in prints if a < b and (a ^ b).bit_count() == 1}
+    classes = {f: signed(f & ~0xFF) for f in prints}
+    got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(signed(f), c) for f, c in classes.items()], "fp long, label long")).collect()}
+    assert got == {tuple(sorted((classes[a], classes[b]))) for a in prints for b in prints if (a ^ b).bit_count() <= 3 and classes[a] != classes[b]}
+
+
+def test_a_dense_cluster(spark, monkeypatch):
+    """All fingerprints within two bits of one: one class, and few pairs."""
+    bits = [1 << i for i in range(64)]
+    ball = [0] + bits + [a | b for n, a in enumerate(bits) for b in bits[n + 1 :]]
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    far = [0xFFFF00FF00FF, 0xFFFF00FF00F0, 0xFFFF00FF0FF8]  # four bits apart, and more
+    prints = spark.createDataFrame([(n, 0, signed(f)) for n, f in enumerate(ball + far)], "doc_id long, digest long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: prints)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(prints.withColumn("text", F.lit(""))).collect()}
+    assert got == {n: 0 for n in range(len(ball))} | {len(ball) + n: len(ball) + n for n in range(3)}
 
 
 def test_components(spark):
