@@ -113,14 +113,28 @@ def sliced(batches, rows: int = 256, text: int | None = None, size: int = 1 << 2
 _HELD: dict = {}
 
 
+def _give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def held(name: str | None = None, make=None):
     """This Python worker's object ``name``, made once; drops all other ones.
 
     Workers outlive tasks, so an object with a large memo serves many tasks of one
-    operator, and is gone as soon as another operator runs in the worker.
+    operator, and is gone as soon as another operator runs in the worker.  Memory that
+    earlier tasks freed goes back to the system.
     """
     for other in [k for k in _HELD if k != name]:
         del _HELD[other]
+    _give_back()
     if name is not None and name not in _HELD:
         _HELD[name] = make()
     return _HELD.get(name)

@@ -119,7 +119,9 @@ def write_tokens(
 
     Returns the written table ``part, shard, n_docs, n_tokens, file``; the order of
     ``(part, shard)`` and of the documents within a shard is that of the ids, null
-    ids first, repeated ids by a hash of their text.  Null text counts as empty.
+    ids first, repeated ids by a hash of their text.  Null text counts as empty: the
+    end id alone.  Very long texts are encoded whole and lie in one shard.  An empty
+    table has no shards; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     ordered = (
@@ -160,7 +162,11 @@ def write_tokens(
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
-    """Documents of a table of shards: ``doc_id, part, shard, local_start, n_tokens, ids``."""
+    """Documents of a table of shards: ``doc_id, part, shard, local_start, n_tokens, ids``.
+
+    One row per document that was written, null and repeated ids included; a table
+    without shards gives an empty result; other columns are ignored.
+    """
 
     def run(batches):
         import pyarrow as pa

@@ -307,3 +307,42 @@ def test_pipeline_takes_odd_tables(spark, sf_dir, edges, nothing):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
             docs.count()
+
+
+def test_pipeline_by_brute_force(spark, sf_dir):
+    """run() against the same five stages in plain Python, over the same trained models."""
+    import struct
+
+    import corpus_pipeline
+    from test_dedup import groups_brute, print_brute
+
+    from palimpsest.llm.common import table
+    from palimpsest.llm.tokens import load, vocabulary
+
+    frame = table(spark, sf_dir, "documents")
+    docs = {r["doc_id"]: r["text"] for r in frame.collect()}
+    only = lambda kept: frame.join(spark.createDataFrame([(i,) for i in kept], "doc_id long"), "doc_id").select(*frame.columns)
+    model = language.train(frame, residue(F.col("doc_id"), 3) != 1)
+    said = {i: language_brute(model, t) if any(map(str.isalpha, t or "")) else ("und", 1.0) for i, t in docs.items()}
+    kept = {i for i, (name, score) in said.items() if name != "und" and score >= 0.5}
+    model = toxicity.train(only(kept), table(spark, sf_dir, "labels"), residue(F.col("doc_id"), 5) != 0)
+    kept = {i for i in kept if toxicity_brute(model, docs[i]) < 0.5}
+    last = {}
+    for i in kept:
+        last[docs[i] or ""] = max(i, last.get(docs[i] or "", i))
+    kept = set(last.values())
+    kept = {i for i, (_, component) in groups_brute({i: print_brute(docs[i]) for i in kept}).items() if i == component}
+    tok = load(vocabulary("word_bpe_49k.json"))
+    want = {i: tok.encode(docs[i] or "", add_special_tokens=False).ids + [1] for i in kept}
+    found, sequences = {i: [] for i in kept}, {}
+    for p in corpus_pipeline.run(spark, sf_dir).collect():
+        ids = want[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        assert p["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)) and p["doc_tokens"] == len(want[p["doc_id"]])
+        found[p["doc_id"]].append((p["start"], p["length"]))
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for own, size in [(found[i], len(x)) for i, x in want.items()] + [(s, None) for s in sequences.values()]:
+        at = 0
+        for start, length in sorted(own):
+            assert start == at and length > 0
+            at += length
+        assert at == size if size is not None else at <= 2048
