@@ -109,9 +109,10 @@ def seek_next(live: DataFrame, starts: DataFrame, n: int) -> DataFrame:
     kind = dict(live.dtypes)["key"]
     keys = live.select("key", F.lit(1).cast("byte").alias("_kind")).filter("key is not null")
     asked = starts.select(F.col("start").cast(kind).alias("key")).filter("key is not null").distinct().withColumn("_kind", F.lit(0).cast("byte"))
-    rows = keys.unionByName(asked).repartitionByRange("key").sortWithinPartitions("key", "_kind")
+    rows = settled(keys.unionByName(asked).repartitionByRange("key").sortWithinPartitions("key", "_kind"))
 
-    def run(batches):
+    def run(batches, edges: bool):
+        """The starts' keys, or what they lack and the first keys of the partition."""
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
@@ -128,7 +129,7 @@ def seek_next(live: DataFrame, starts: DataFrame, n: int) -> DataFrame:
             is_key = batch.column(1).to_numpy(zero_copy_only=False) == 1
             here = batch.column(0).filter(pa.array(is_key)).cast(text)
             own = batch.column(0).filter(pa.array(~is_key)).cast(text)
-            if head < n and len(here):
+            if edges and head < n and len(here):
                 more = here.slice(0, n - head)
                 yield out(HEAD, pa.nulls(len(more), text), more, np.arange(head, head + len(more)))
                 head += len(more)
@@ -137,7 +138,7 @@ def seek_next(live: DataFrame, starts: DataFrame, n: int) -> DataFrame:
             had = np.concatenate([n - lacking, np.zeros(len(own), np.int64)])
             everyone = pa.concat_arrays([waiting, own])
             take = np.minimum(n - had, len(here) - at)
-            for k in range(0, len(take), 4096):  # slices bound the rows made at once
+            for k in range(0, 0 if edges else len(take), 4096):  # slices bound the rows made at once
                 part_take = take[k : k + 4096]
                 which = np.repeat(np.arange(k, k + len(part_take)), part_take)
                 inside = np.arange(len(which)) - np.repeat(np.cumsum(part_take) - part_take, part_take)
@@ -145,12 +146,13 @@ def seek_next(live: DataFrame, starts: DataFrame, n: int) -> DataFrame:
                     yield out(HIT, everyone.take(pa.array(which)), here.take(pa.array(at[which] + inside)), had[which] + inside + 1)
             still = n - had - take
             waiting, lacking = everyone.filter(pa.array(still > 0)), still[still > 0]
-        if len(waiting):
+        if edges and len(waiting):
             yield out(OPEN, waiting, pa.nulls(len(waiting), text), n - lacking)
 
     ship(live.sparkSession)
-    found = settled(rows.mapInArrow(run, f"part int, what byte, start {kind}, key {kind}, rn long"))
-    hits = found.filter(F.col("what") == HIT).select("start", "key", "rn")
+    shape = f"part int, what byte, start {kind}, key {kind}, rn long"
+    hits = rows.mapInArrow(lambda batches: run(batches, False), shape).select("start", "key", "rn")
+    found = settled(rows.mapInArrow(lambda batches: run(batches, True), shape))
     # first keys of all partitions in order: at most n a partition
     heads = found.filter(F.col("what") == HEAD).select("part", "key", "rn").withColumn("place", F.row_number().over(Window.orderBy("part", "rn")))
     before = found.select("part").distinct().join(heads.groupBy("part").agg(F.count(F.lit(1)).alias("own")), "part", "left")
