@@ -14,12 +14,13 @@ from collections.abc import Callable, Iterable
 from palimpsest.errors import StoreError
 from palimpsest.store.store import Snapshot, Store
 
-#: Pairs a scan shows; the rest is only counted.
+# Fixed values of the shell: how many pairs a scan shows before it only counts, and its replies.
 SHOWN = 50
+DONE, NOTHING, NO_SNAPSHOT, UNKNOWN = "OK", "(nil)", "no snapshot (use snap)", "unknown command"
 
 
 def _text(data: bytes | None) -> str:
-    return "(nil)" if data is None else data.decode("utf-8", "replace")
+    return NOTHING if data is None else data.decode("utf-8", "replace")
 
 
 class Shell:
@@ -42,7 +43,7 @@ class Shell:
         verb = getattr(self, f"do_{words[0]}", None)
         fits = {"put": (2,), "get": (1,), "del": (1,), "scan": (0, 1, 2), "sget": (1,)}.get(words[0], (0,))
         if verb is None or len(words) - 1 not in fits:
-            self.say("unknown command")
+            self.say(UNKNOWN)
             return
         try:
             verb(*words[1:])
@@ -51,14 +52,14 @@ class Shell:
 
     def do_put(self, key: str, value: str) -> None:
         self.store.put(key.encode(), value.encode())
-        self.say("OK")
+        self.say(DONE)
 
     def do_get(self, key: str) -> None:
         self.say(_text(self.store.get(key.encode())))
 
     def do_del(self, key: str) -> None:
         self.store.delete(key.encode())
-        self.say("OK")
+        self.say(DONE)
 
     def do_scan(self, low: str | None = None, high: str | None = None) -> None:
         self._show(self.store.scan(low and low.encode(), high and high.encode()))
@@ -69,28 +70,28 @@ class Shell:
         self.say(f"snapshot at seq {self.snap.sequence}")
 
     def do_sget(self, key: str) -> None:
-        self.say(_text(self.snap.get(key.encode())) if self.snap else "no snapshot (use snap)")
+        self.say(_text(self.snap.get(key.encode())) if self.snap else NO_SNAPSHOT)
 
     def do_sscan(self) -> None:
         if self.snap:
             self._show(self.snap.iter())
         else:
-            self.say("no snapshot (use snap)")
+            self.say(NO_SNAPSHOT)
 
     def do_unsnap(self, quiet: bool = False) -> None:
         if self.snap is not None:
             self.snap.release()
             self.snap = None
         if not quiet:
-            self.say("OK")
+            self.say(DONE)
 
     def do_flush(self) -> None:
         self.store.flush()
-        self.say("OK")
+        self.say(DONE)
 
     def do_compact(self) -> None:
         self.store.compact_all()
-        self.say("OK")
+        self.say(DONE)
 
     def do_stats(self) -> None:
         for name, value in self.store.stats().items():
