@@ -10,8 +10,8 @@ are merged by :mod:`components`.
 
 Many near copies of one text make a dense cluster, with a number of close pairs near
 the square of its fingerprints.  Fingerprints one bit apart are therefore merged first:
-they agree once that bit is cleared, and no other fingerprint does, so that takes 64
-rows a fingerprint.  The multi-index join then only gives pairs of different classes,
+they agree once that bit is cleared, and no other fingerprint does, so that takes 32
+rows for a half that another fingerprint has too.  The multi-index join then only gives pairs of different classes,
 reduced to one a pair of classes before they leave a task.
 """
 
@@ -72,18 +72,29 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
 
 def neighbours(distinct: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of distinct fingerprints ``fp`` exactly one bit apart."""
-    bits = F.expr("transform(sequence(0, 63), i -> struct(cast(i as byte) as bit, fp & ~shiftleft(1L, i) as rest))")
-    met = distinct.select("fp", F.explode(bits).alias("k")).groupBy("k.bit", "k.rest").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
-    return met.filter("a <> b").select("a", "b")
+    """Pairs ``(a, b)`` of distinct fingerprints ``fp`` exactly one bit apart.
+
+    They share a half, and few fingerprints share one with any other; only these are
+    looked up with each bit of the other half cleared.
+    """
+    halves = _halves(distinct, "fp")
+    crowded = halves.groupBy("half", "part").count().filter("count > 1").select("half", "part")
+    met = halves.join(crowded, ["half", "part"], "left_semi")
+    bits = F.expr("transform(sequence(0, 31), i -> cast(if(half = 0, 32 + i, i) as byte))")
+    cleared = met.select("fp", F.explode(bits).alias("bit")).withColumn("rest", F.expr("fp & ~shiftleft(1L, cast(bit as int))"))
+    return cleared.groupBy("bit", "rest").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("a", "b")
+
+
+def _halves(distinct: DataFrame, *columns: str) -> DataFrame:
+    """Both 32-bit halves of every fingerprint: ``half`` 0 is the lower one."""
+    both = F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))
+    return distinct.select(*columns, F.posexplode(both).alias("half", "part"))
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of classes, the columns ``fp`` and ``label`` of distinct
     fingerprints, that hold fingerprints at most three bits apart."""
-    halves = distinct.select(
-        "fp", "label", F.posexplode(F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))).alias("half", "part")
-    )
+    halves = _halves(distinct, "fp", "label")
     space = F.shiftleft(F.col("half").cast("long"), 32)
     stored = halves.select((space + F.col("part")).alias("key"), F.col("fp").alias("b"), F.col("label").alias("lb"))
     ball = F.expr("filter(transform(sequence(0, 32), i -> if(i = 32, part, part | shiftleft(1L, i))), (k, i) -> i = 32 or k <> part)")
