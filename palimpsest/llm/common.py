@@ -27,6 +27,7 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     :func:`discard` and :func:`swept` remove what nothing reads any more.
     """
     spark = df.sparkSession
+    _give_back()  # the driver's own training may have left much free memory behind
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _PATHS.append(path)
@@ -115,9 +116,11 @@ _HELD: dict = {}
 
 def _give_back() -> None:
     import ctypes
+    import gc
 
     import pyarrow as pa
 
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
