@@ -83,6 +83,56 @@ def test_toxicity_scores_do_not_depend_on_the_batch():
     assert np.allclose(model.scores(texts), alone) and alone[0] > alone[2]
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Words, languages and thresholds that no row of the first sample shows."""
+    from palimpsest.llm.common import keep_share
+
+    draw, share = np.random.default_rng(3), 0.1
+    sampled = {r[0] for r in spark.range(3000).filter(keep_share({1: share}, F.lit(1), F.col("id"))).collect()}
+    words = {"en": ["bread", "river", "stone", "garden", "winter"], "xx": ["ulom", "treba", "okli", "vesna", "gorod"]}
+    rows, marks = [], []
+    for i in range(3000):
+        toxic, lang = i % 2, "en" if i in sampled or i % 4 < 2 else "xx"
+        text = [words[lang][k] for k in draw.integers(0, 5, 12)]
+        if toxic:
+            text[draw.integers(12)] = "clown" if i in sampled else "weasel"
+        rows.append((i, " ".join(text), lang))
+        marks.append((i, toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True), per_class=150)
+    assert {"en", "xx"} <= set(model.languages)
+    logs = np.array([model.word_log[toxicity.pieces([w])[0, 0]] for w in words["xx"]])
+    assert (logs.argmax(axis=1) == model.languages.index("xx")).all()
+    score = model.scores([f"{a} {b} {w} {a}" for own in words.values() for a, b in zip(own, own[1:]) for w in ("weasel", "clown", a)])
+    assert all((s >= 0.5) == (k % 3 < 2) for k, s in enumerate(score))
+
+
+def test_toxicity_averages_replicas_and_counts_every_row(spark, documents, labels, monkeypatch):
+    """Many replicas: the mean by hand, all rows and words counted, all rows calibrated."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 8)
+    rows = documents.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").select("doc_id", "text", "lang", "toxic")
+    start, names = toxicity.fit(["a clown here", "kind words here"], [1, 0], epochs=1), ["en", None]
+    replicas = toxicity._replicas(rows, start, {0: 0.5, 1: 1.0}, names, 9, 0.005)
+    got, model = replicas.collect(), toxicity._averaged(replicas, start, names)
+    assert len({r["shard"] for r in got}) == 9 and sum(r["n"] for r in got if r["block"] == toxicity.BLOCKS) == rows.count()
+    step = toxicity.BUCKETS // toxicity.BLOCKS
+    for k in range(toxicity.BLOCKS):
+        some = [(np.frombuffer(r["data"], np.float32).reshape(step, -1), np.frombuffer(r["met"], bool)) for r in got if r["block"] == k]
+        for b in range(0, step, 7):
+            own = [e[b] for e, met in some if met[b]]
+            want = np.mean(own, axis=0) if own else start.embedding[k * step + b]
+            assert np.allclose(model.embedding[k * step + b], want, atol=1e-6)
+    counts = np.ones((toxicity.BUCKETS, 2))
+    for r in rows.collect():
+        for p in toxicity.pieces(toxicity.split(r["text"])) if r["lang"] is not None else []:
+            counts[p[0], int(r["lang"] != "en")] += 1
+    assert np.allclose(model.word_log, np.log(counts / counts.sum(axis=0)), atol=1e-5)
+    toxicity._calibrate(rows.select("doc_id", "text", "lang"), labels, model)
+    p, y = model.raw([r["text"] for r in rows.collect()])[0], np.array([r["toxic"] for r in rows.collect()])
+    f1 = [2 * (p[y == 1] >= c).sum() / max((p >= c).sum() + (y == 1).sum(), 1) for c in toxicity.CUTS]
+    assert f1[toxicity.CUTS.index(model.threshold)] == max(f1)
+
+
 def test_quality(spark, larger, edges, nothing):
     docs, marks = larger
     right = {}
